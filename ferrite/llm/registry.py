@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, pivot_search, url_filter, warc_bundle
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_warc_bundles": warc_bundle.query,
+        "op3_url_filter": url_filter.query,
+        "op8_pivot_topk": pivot_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter.SQL, "op8_pivot_topk": pivot_search.SQL}
