@@ -73,4 +73,4 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, colu
         return []
     rows = df.where(h.isin(wanted) & F.col(stratum).isNotNull())
     rest = [c for c in columns if c != stratum]
-    return rows.groupBy(F.col(key).alias("_key"), F.col(stratum)).agg(*[F.min(c).alias(c) for c in rest]).orderBy(F.xxhash64("_key"), stratum).collect()
+    return rows.groupBy(F.col(key).alias("_key"), F.col(stratum)).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in rest]).orderBy(F.xxhash64("_key"), stratum).collect()
