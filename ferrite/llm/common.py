@@ -22,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark, "_ferrite_shared", None)
+        sc = spark.sparkContext
+        base = sc.getCheckpointDir() or getattr(sc, "_ferrite_shared", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="ferrite-")
-            spark._ferrite_shared = base
+            base = sc._ferrite_shared = "file://" + tempfile.mkdtemp(prefix="ferrite-")
     return base.rstrip("/")
 
 
