@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, url_filter, warc_bundle
+from . import decontaminate, html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, url_filter, warc_bundle
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_filter": url_filter.query,
         "op4_mixture_packing": packing.query,
         "op5_quality_classifier": quality.query,
+        "op6_decontaminate": decontaminate.query,
         "op7_near_duplicates": near_duplicates.query,
         "op8_pivot_topk": pivot_search.query,
         "op9_pii_pseudonyms": pii_pseudonyms.query,
