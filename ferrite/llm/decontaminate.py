@@ -130,3 +130,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: the documents that hold benchmark items."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id holds no benchmark item."""
+    gone = common.materialise(contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(gone, key, "left_anti").select(*docs.columns)

@@ -260,3 +260,18 @@ def group(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: near-duplicate groups of all documents."""
     return group(common.table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a near duplicate of a smaller id.
+
+    Of rows that share an id one stays. Only ids go through the join; the side that is dropped is the smaller one.
+    """
+    gone = common.materialise(group(docs, percent, key, text).where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    left = docs.join(gone, key, "left_anti").select(*docs.columns)
+    repeated = docs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") > 1)).select(key)
+    repeated = common.materialise(repeated, "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, key, "left_semi").dropDuplicates([key])
+    return left.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

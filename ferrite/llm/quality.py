@@ -153,3 +153,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(common.crc_mod("doc_id", 5) != 0))
     return score(docs, model, extra={"held_out": F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False))})
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    common.python_ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, memo = QualityModel(*shared.value), _Memo()
+        for b in batches:
+            yield b[[m.score(t, memo) >= threshold for t in b[text]]]
+
+    return docs.mapInPandas(run, docs.schema)
