@@ -19,16 +19,20 @@ sources share queues by hash. Repeated rows are packed each. No rows give no pie
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +42,26 @@ SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
 END = 0  # id after each document
 MAX_QUEUES = 4096
-#: Fixed value: the pre-tokeniser of byte-level BPE; what it splits is encoded independently.
-PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Beyond these characters the pieces of a text are left to the tokenizer itself.
-_OTHER = re.compile(r"[^\x00-ɏ]")
+#: The first code point that pieces() leaves to the tokenizer itself.
+_BEYOND = 0x250
+_OTHER = re.compile(f"[^\\x00-{chr(_BEYOND - 1)}]")
+
+
+def _class(major: str) -> str:
+    """Characters below _BEYOND of a Unicode category, for use in a character class."""
+    return "".join(re.escape(chr(i)) for i in range(_BEYOND) if unicodedata.category(chr(i))[0] == major)
+
+
+def _pieces() -> re.Pattern:
+    """The pre-tokeniser of byte-level BPE (contractions, words, numbers, other marks, white space) below _BEYOND.
+
+    What it splits is encoded independently, so a piece's ids can be remembered.
+    """
+    letter, digit, white = _class("L"), _class("N"), r"\t-\r \x85\xa0"
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{white}{letter}{digit}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+PIECES = _pieces()
 _MEMO_LIMIT, _MEMO_CHARS = 400_000, 48
 TOKENS = "block int, queue string, doc_id bigint, before bigint, n bigint, ids binary"
 
@@ -52,8 +72,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The file's vocabulary as bytes by rank, if merging by rank is what it says: the k-th merge makes the k-th token."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merged)) or any(model["vocab"].get(c, 256) > 255 for c in letters):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merged)}
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file; pieces that recur are remembered."""
+    """Ids of whole texts by a byte-level BPE file; pieces that recur are remembered.
+
+    New pieces are merged by the ranks of the same file, which gives the same ids several times as fast; where the file
+    doesn't merge by rank, and for texts with characters beyond the pieces' range, the tokenizer itself encodes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,27 +97,32 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
+        ranks = _merge_ranks(path)
+        self.merger = ranks and tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.memo: dict[str, bytes] = {}
         self.end = np.array([END], self.dtype).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype is np.uint16 else "I"
+        return [array(code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end mark."""
-        if len(self.memo) > _MEMO_LIMIT:
-            self.memo.clear()
-        split = [None if _OTHER.search(t) or any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
-        missing = list(set().union(*[p for p in split if p is not None]) - self.memo.keys())
-        new = dict(zip(missing, self._ids(missing), strict=True)) if missing else {}
         memo = self.memo
-        memo.update(new)
-        whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
-        out = [(next(whole) if p is None else b"".join(map(memo.__getitem__, p))) + self.end for p in split]
+        if len(memo) > _MEMO_LIMIT:
+            memo.clear()
+        pieces = [None if _OTHER.search(t) or any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
+        found = [None if p is None else list(map(memo.get, p)) for p in pieces]
+        missing = list({w for p, f in zip(pieces, found, strict=True) if f is not None and None in f for w, v in zip(p, f, strict=True) if v is None})
+        if missing:
+            code = "H" if self.dtype is np.uint16 else "I"
+            memo.update(zip(missing, [array(code, x).tobytes() for x in map(self.merger.encode_ordinary, missing)] if self.merger else self._ids(missing), strict=True))
+        whole = iter(self._ids([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        out = [next(whole) if p is None else b"".join(f if None not in f else map(memo.__getitem__, p)) for p, f in zip(pieces, found, strict=True)]
         for w in missing:
             if len(w) > _MEMO_CHARS:
                 del memo[w]
-        return out
+        return [x + self.end for x in out]
 
 
 _encoders: dict[str, Encoder] = {}
