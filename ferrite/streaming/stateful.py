@@ -107,7 +107,7 @@ def throttle(stream: DataFrame, gap_us: int) -> DataFrame:
     from ..session import ship_package
 
     ship_package(stream.sparkSession)
-    return stream.groupBy("user_id").transformWithStateInPandas(Throttle(gap_us), "user_id bigint, event_id bigint, t bigint", "Append", "None")
+    return stream.groupBy("user_id").transformWithStateInPandas(Throttle(gap_us), "user_id bigint, event_id bigint, t bigint", "Append", "ProcessingTime")
 
 
 def watchdog(stream: DataFrame, order: dict[str, int], budget_ms: dict[str, int], default_ms: int = 45_000) -> DataFrame:
@@ -123,7 +123,7 @@ def frame_gate(stream: DataFrame, cut: float = 1.2) -> DataFrame:
     from ..session import ship_package
 
     ship_package(stream.sparkSession)
-    return stream.groupBy("stream").transformWithStateInPandas(LastFrame(cut), "stream bigint, seq bigint, reason string", "Append", "None")
+    return stream.groupBy("stream").transformWithStateInPandas(LastFrame(cut), "stream bigint, seq bigint, reason string", "Append", "ProcessingTime")
 
 
 def change_feed(stream: DataFrame, key: str, ts: str, window: str, watermark: str = "10 minutes") -> DataFrame:
