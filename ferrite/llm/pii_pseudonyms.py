@@ -40,6 +40,11 @@ ANY = "|".join((EMAIL, SECRET, DATE, IP, SSN, CARD, PHONE))
 HINT = r"@|\d[\d ()./-]{6}|[0-9a-f]{32}|(?:sk|pk|rk|ghp|gho)[-_]|AKIA"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; an expression that a lambda holds is else computed at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
@@ -68,8 +73,8 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     n = F.length(digits)
     low = F.floor(n / 2).cast("int")
     high = n - low
-    got = feistel(F.substring(digits, F.lit(1), low), F.substring(digits, low + 1, high), _power(low), _power(high), key, F.concat(F.lit(kind), n.cast("string")))
-    return F.concat(F.lpad(got["a"].cast("string"), low, "0"), F.lpad(got["b"].cast("string"), high, "0"))
+    pair = feistel(F.substring(digits, F.lit(1), low), F.substring(digits, low + 1, high), _power(low), _power(high), key, F.concat(F.lit(kind), n.cast("string")))
+    return _let(pair, lambda got: F.concat(F.lpad(got["a"].cast("string"), low, "0"), F.lpad(got["b"].cast("string"), high, "0")))
 
 
 def _luhn_sum(digits: Column, doubled_first: int) -> Column:
@@ -90,7 +95,7 @@ def _refill(shape: Column, digits: Column) -> Column:
         is_digit = c.between("0", "9")
         return F.struct(F.concat(s["o"], F.when(is_digit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("o"), (s["k"] + is_digit.cast("int")).alias("k"))
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), put, lambda s: s["o"])
+    return F.aggregate(F.filter(F.split(shape, ""), lambda c: c != ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), put, lambda s: s["o"])
 
 
 def _digits(x: Column) -> Column:
@@ -101,38 +106,53 @@ def _date(x: Column, key: str) -> Column:
     iso = F.substring(x, 5, 1) == "-"
     wide = F.length(x) == 10
     day = F.when(iso, F.try_to_timestamp(x, F.lit("yyyy-MM-dd"))).when(wide, F.try_to_timestamp(x, F.lit("dd/MM/yyyy"))).otherwise(F.try_to_timestamp(x, F.lit("d/M/yyyy"))).cast("date")
-    n = F.datediff(day, F.lit(EPOCH).cast("date"))
-    got = feistel(F.floor(n / DAYS_LOW), n % DAYS_LOW, F.lit(DAYS // DAYS_LOW), F.lit(DAYS_LOW), key, F.lit("date"))
-    new = F.date_add(F.lit(EPOCH).cast("date"), (got["a"] * DAYS_LOW + got["b"]).cast("int"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(wide, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "d/M/yyyy"))
-    return F.when(n.between(0, DAYS - 1), shown)
+
+    def shown(got: Column) -> Column:
+        new = F.date_add(F.lit(EPOCH).cast("date"), (got["a"] * DAYS_LOW + got["b"]).cast("int"))
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(wide, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "d/M/yyyy"))
+
+    def move(n: Column) -> Column:
+        return F.when(n.between(0, DAYS - 1), _let(feistel(F.floor(n / DAYS_LOW), n % DAYS_LOW, F.lit(DAYS // DAYS_LOW), F.lit(DAYS_LOW), key, F.lit("date")), shown))
+
+    return _let(F.datediff(day, F.lit(EPOCH).cast("date")), move)
 
 
 def _ip(x: Column, key: str) -> Column:
-    o = F.split(x, r"\.")
-    octet = lambda i: o[i].cast("int")
-    got = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536), key, F.lit("ip"))
-    parts = [F.floor(got["a"] / 256), got["a"] % 256, F.floor(got["b"] / 256), got["b"] % 256]
-    return F.when(F.forall(o, lambda v: v.cast("int") < 256), F.concat_ws(".", *[p.cast("string") for p in parts]))
+    def shown(got: Column) -> Column:
+        parts = [F.floor(got["a"] / 256), got["a"] % 256, F.floor(got["b"] / 256), got["b"] % 256]
+        return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+    def move(o: Column) -> Column:
+        octet = lambda i: o[i].cast("int")
+        pair = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536), key, F.lit("ip"))
+        return F.when(F.forall(o, lambda v: v.cast("int") < 256), _let(pair, shown))
+
+    return _let(F.split(x, r"\."), move)
 
 
 def _card(x: Column, key: str) -> Column:
-    d = _digits(x)
-    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string")
-    return F.when(_luhn_sum(d, 1) % 10 == 0, _refill(x, F.concat(body, check)))
+    def whole(body: Column) -> Column:
+        return F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
+
+    def move(d: Column) -> Column:
+        new = _let(permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), whole)
+        return F.when(_luhn_sum(d, 1) % 10 == 0, _let(new, lambda digits: _refill(x, digits)))
+
+    return _let(_digits(x), move)
 
 
 def _phone(x: Column, key: str) -> Column:
     country = F.regexp_extract(x, r"^\+(?:\d{1,3}(?=[ .(-])|\d)", 0)
-    rest = F.substring(x, F.length(country) + 1, F.length(x))
-    d = _digits(rest)
-    return F.when(F.length(d).between(6, 14), F.concat(country, _refill(rest, permute_digits(d, key, "phone"))))
+
+    def move(rest: Column) -> Column:
+        return _let(_digits(rest), lambda d: F.when(F.length(d).between(6, 14), F.concat(country, _let(permute_digits(d, key, "phone"), lambda digits: _refill(rest, digits)))))
+
+    return _let(F.substring(x, F.length(country) + 1, F.length(x)), move)
 
 
 def _ssn(x: Column, key: str) -> Column:
     fine = ~F.substring(x, 1, 3).isin("000", "666") & (F.substring(x, 1, 1) != "9") & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000")
-    return F.when(fine, _refill(x, permute_digits(_digits(x), key, "ssn")))
+    return F.when(fine, _let(permute_digits(_digits(x), key, "ssn"), lambda digits: _refill(x, digits)))
 
 
 def pseudonym(x: Column, key: str) -> Column:
@@ -148,16 +168,20 @@ def pseudonym(x: Column, key: str) -> Column:
     )
     secret = F.substring(F.concat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("s1"), x), 256), F.sha2(F.concat_ws("|", F.lit(key), F.lit("s2"), x), 256)), F.lit(1), F.length(x))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)), 256), 1, 16), F.lit("@mail.invalid"))
-    value = (
-        F.when(kind == "email", email)
-        .when(kind == "secret", secret)
-        .when(kind == "date", _date(x, key))
-        .when(kind == "ip", _ip(x, key))
-        .when(kind == "ssn", _ssn(x, key))
-        .when(kind == "card", _card(x, key))
-        .otherwise(_phone(x, key))
-    )
-    return F.struct(kind.alias("kind"), value.alias("value"))
+
+    def named(k: Column) -> Column:
+        value = (
+            F.when(k == "email", email)
+            .when(k == "secret", secret)
+            .when(k == "date", _date(x, key))
+            .when(k == "ip", _ip(x, key))
+            .when(k == "ssn", _ssn(x, key))
+            .when(k == "card", _card(x, key))
+            .otherwise(_phone(x, key))
+        )
+        return F.struct(k.alias("kind"), value.alias("value"))
+
+    return _let(kind, named)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
