@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import checksums
-from ..operators import elements, evaluate, events, frames, policy, redaction, rules, spans
+from ..functions import checksums, small
+from ..operators import elements, evaluate, events, frames, policy, redaction, reports, rules, spans
 from ..sources import html, wire
 from . import fixtures, sql
 
@@ -409,3 +409,69 @@ def collapse_repeats(spark, d):
 @query
 def dom_hashes(spark, d):
     return html.structural_hash(html.elements(_t(spark, d, "pages"), "page_id"), "page_id")
+
+
+@query
+def clamp_lines(spark, d):
+    return _t(spark, d, "documents").select("doc_id", small.clamp(F.col("text")).alias("line"))
+
+
+@query
+def capped_sizes(spark, d):
+    w, h = F.col("p_partkey") * 7 % 3000 + 1, F.col("p_partkey") * 11 % 2000 + 1
+    size = small.cap_to_edge(w, h)
+    return _t(spark, d, "part").select("p_partkey", size["w"].alias("w"), size["h"].alias("h"), size["scale"].alias("scale"), small.send_tiles(F.col("p_size"), w, h).alias("tiles"))
+
+
+@query
+def device_tiers(spark, d):
+    ram, vram, threads = F.col("p_size") % 9, F.col("p_partkey") * 97 % 3000, F.col("p_partkey") % 13 + 1
+    gpu, isolated = F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 2 == 0
+    tier = small.device_tier(ram, vram, threads, gpu)
+    return _t(spark, d, "part").select("p_partkey", tier.alias("tier"), small.token_batch(vram, threads, gpu, isolated, tier).alias("batch"))
+
+
+@query
+def manifest_signature(spark, d):
+    hits = _hits(spark, d).withColumn("hit_id", F.concat_ws(":", F.lpad(F.col("start").cast("string"), 9, "0"), "end")).withColumn("method", elements.redaction_method(F.col("cls"), F.lit(True)))
+    return reports.sign(hits, "doc_id")
+
+
+@query
+def manifest_summary(spark, d):
+    return reports.render(redaction.manifest(_hits(spark, d)))
+
+
+@query
+def box_metrics(spark, d):
+    return reports.box_metrics(_boxes(spark, d).join(_t(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey"), "p_brand")
+
+
+@query
+def grounding_report(spark, d):
+    steps = spark.createDataFrame(fixtures.STEPS, "plan_id bigint, step_idx int, action string, mark int, value string, reason string")
+    nodes = spark.createDataFrame(fixtures.NODES, "plan_id bigint, mark int, label string, sensitive boolean")
+    return reports.grounding(steps, nodes)
+
+
+@query
+def timeline_shares(spark, d):
+    sums = _events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return reports.shares(sums, "n", "user_id")
+
+
+@query
+def device_projection(spark, d):
+    stats = _events(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
+    return reports.project(stats, {"laptop": 1.8, "tablet": 2.5, "phone": 3.5, "old": 4.5}, "mean")
+
+
+@query
+def provider_choice(spark, d):
+    rows = _t(spark, d, "supplier").select("s_nationkey", F.col("s_name").alias("name"), F.col("s_suppkey").alias("rank"), (F.col("s_acctbal") > 0).alias("ok"))
+    return reports.first_healthy(rows, "s_nationkey")
+
+
+@query
+def page_text(spark, d):
+    return reports.screen_text(html.elements(_t(spark, d, "pages"), "page_id"), "page_id")
