@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, url_filter, warc_bundle
+from . import decontaminate, html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, sql, url_filter, warc_bundle
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.SQL, "op8_pivot_topk": pivot_search.SQL}
+    return {"op2_warc_bundles": sql.WARC, "op6_decontaminate": sql.LEAKS, "op7_near_duplicates": sql.NEAR, "op3_url_filter": url_filter.SQL, "op8_pivot_topk": pivot_search.SQL}
