@@ -22,11 +22,11 @@ def debounce(stream: DataFrame, key: str, ts: str, gap: str, watermark: str = "1
 class Throttle(StatefulProcessor):
     """Keeps an event if ``gap_us`` has passed since the key's last kept one. One number of state a key."""
 
-    def __init__(self, gap_us: int):
-        self.gap = gap_us
+    def __init__(self, gap_us: int, ttl_ms: int | None = None):
+        self.gap, self.ttl = gap_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t bigint", ttlDurationMs=86_400_000)
+        self.last = handle.getValueState("last", "t bigint", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         b = pd.concat(rows).sort_values(["t", "event_id"], kind="stable")
@@ -80,11 +80,11 @@ class Watchdog(StatefulProcessor):
 class LastFrame(StatefulProcessor):
     """Marks a frame by how it differs from the key's frame before: first, changed or unchanged."""
 
-    def __init__(self, cut: float = 1.2):
-        self.cut = cut
+    def __init__(self, cut: float = 1.2, ttl_ms: int | None = None):
+        self.cut, self.ttl = cut, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "cells array<double>", ttlDurationMs=86_400_000)
+        self.last = handle.getValueState("last", "cells array<double>", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = list(self.last.get()[0]) if self.last.exists() else None
@@ -102,28 +102,36 @@ class LastFrame(StatefulProcessor):
         pass
 
 
-def throttle(stream: DataFrame, gap_us: int) -> DataFrame:
-    """(user_id, event_id, t) kept by Throttle, from a stream with these columns; needs the RocksDB state store."""
+def _run(keyed, processor: StatefulProcessor, schema: str, ttl_ms: int | None) -> DataFrame:
+    # State expires only in processing-time mode, whose queries go on until they are stopped.
+    return keyed.transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl_ms else "None")
+
+
+def throttle(stream: DataFrame, gap_us: int, ttl_ms: int | None = None) -> DataFrame:
+    """(user_id, event_id, t) kept by Throttle, from a stream with these columns; needs the RocksDB state store.
+
+    With ``ttl_ms`` a key's state leaves after that long without events.
+    """
     from ..session import ship_package
 
     ship_package(stream.sparkSession)
-    return stream.groupBy("user_id").transformWithStateInPandas(Throttle(gap_us), "user_id bigint, event_id bigint, t bigint", "Append", "ProcessingTime")
+    return _run(stream.groupBy("user_id"), Throttle(gap_us, ttl_ms), "user_id bigint, event_id bigint, t bigint", ttl_ms)
 
 
 def watchdog(stream: DataFrame, order: dict[str, int], budget_ms: dict[str, int], default_ms: int = 45_000) -> DataFrame:
-    """(run, stage) of stalled runs, from a stream with run, stage and t (microseconds)."""
+    """(run, stage) of stalled runs, from a stream with run, stage and t (microseconds). Its timers need a running query."""
     from ..session import ship_package
 
     ship_package(stream.sparkSession)
     return stream.groupBy("run").transformWithStateInPandas(Watchdog(order, budget_ms, default_ms), "run string, stage string", "Append", "ProcessingTime")
 
 
-def frame_gate(stream: DataFrame, cut: float = 1.2) -> DataFrame:
+def frame_gate(stream: DataFrame, cut: float = 1.2, ttl_ms: int | None = None) -> DataFrame:
     """(stream, seq, reason) from a stream with stream, seq and cells."""
     from ..session import ship_package
 
     ship_package(stream.sparkSession)
-    return stream.groupBy("stream").transformWithStateInPandas(LastFrame(cut), "stream bigint, seq bigint, reason string", "Append", "ProcessingTime")
+    return _run(stream.groupBy("stream"), LastFrame(cut, ttl_ms), "stream bigint, seq bigint, reason string", ttl_ms)
 
 
 def change_feed(stream: DataFrame, key: str, ts: str, window: str, watermark: str = "10 minutes") -> DataFrame:

@@ -46,7 +46,7 @@ def _stream(spark, path, rows, schema):
 
 def _drain(df, name, tmp_path, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     return df.sparkSession.table(name).collect()
 
 
@@ -67,3 +67,19 @@ def test_stream_debounce(spark, tmp_path):
     rows = [(1, t0 + dt.timedelta(milliseconds=m)) for m in (0, 100, 900)] + [(2, t0 + dt.timedelta(hours=1))]
     s = _stream(spark, tmp_path / "d", rows, "k bigint, ts timestamp")
     assert sorted((r.k, r.n) for r in _drain(stateful.debounce(s, "k", "ts", "400 milliseconds", "1 second"), "bursts", tmp_path)) == [(1, 1), (1, 2)]
+
+
+def test_stream_watchdog(spark, tmp_path):
+    import time
+
+    s = _stream(spark, tmp_path / "w", [("a", "snapshot", 0), ("a", "send", 1000), ("b", "snapshot", 4_000_000_000_000_000)], "run string, stage string, t bigint")
+    order = {"snapshot": 0, "send": 1}
+    q = stateful.watchdog(s, order, {"snapshot": 8000, "send": 60_000}).writeStream.format("memory").queryName("stalled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck-w")).start()
+    try:
+        for _ in range(60):
+            if spark.table("stalled").count():
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("stalled").collect()] == [("a", "send")]
