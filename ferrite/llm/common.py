@@ -33,6 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ferrite-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete all scratch tables and bundles in the shared folder; how many there were. Results that still read them fail."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = top.getFileSystem(conf)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "ferrite-*")) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession

@@ -42,8 +42,12 @@ def test_stages(spark):
         docs, kept = out, want
 
 
-def test_run_and_empty(spark, tmp_path):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_run_on_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    common.materialise(spark.range(3), "test").count()
+    assert common.clean_up(spark) > 0 and common.clean_up(spark) == 0
