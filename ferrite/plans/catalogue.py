@@ -27,8 +27,14 @@ def _t(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer partitions than there are cores is dealt out; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _scan(spark, d: str, resolve: bool = True) -> DataFrame:
-    return rules.scan(_t(spark, d, "documents").select("doc_id", "text"), resolve=resolve)
+    return rules.scan(_spread(_t(spark, d, "documents").select("doc_id", "text")), resolve=resolve)
 
 
 def _hits(spark, d: str) -> DataFrame:
