@@ -9,9 +9,13 @@ Slots are then checked for consistency: along one alignment of a document with a
 stand for the same value of the document. Windows on slots that contradict each other don't count. So an item with other
 numbers, names or units is found, and text that only has the same outline is not.
 
-Defined results: null and empty texts hold nothing. Windows with fewer than LITERALS words outside slots are not used;
-an item of fewer than WINDOW atoms is one window; an item without a usable window is never found. Items that share a
-text are each found. Rows with equal doc_id and text count once; other columns are not read.
+Beside the template windows go literal ones: all windows of lower-cased words and numbers, without slots, so that a copy
+is found whatever its slots, its capitals and the text before it. A pair is reported once, by the first form that finds
+it.
+
+Defined results: null and empty texts hold nothing. Template windows with fewer than LITERALS words outside slots are not
+used; an item of fewer than WINDOW atoms is one window; an item without atoms is never found. Marks between atoms are not
+compared. Items that share a text are each found. Rows with equal doc_id and text count once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles g
 AFTER_NUMBER = "m g l s h c f v w a j n b in ft ma pa kj min pct bit second".split()
 NUMBER, UNIT, NAME = 1, 2, 3
 STOPS = ".!?\n"
+#: What windows are made of, in order of preference.
+TEMPLATE, LITERAL = 0, 1
+FORMS = {TEMPLATE: "h", LITERAL: "l"}
 
 
 def _bare(x: Column) -> Column:
@@ -59,10 +66,14 @@ def canonical(of: str) -> Column:
     return F.transform(a, lambda x, i: F.coalesce(_slot(x, F.get(a, i - 1)).cast("bigint"), F.xxhash64(_bare(x))))
 
 
-def windows(of: str, size: int) -> Column:
-    """Hashes of the windows of ``size`` atoms of the canonical array ``of``."""
-    h = F.col(of)
-    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)])))
+def literal(of: str) -> Column:
+    """One bigint for each atom of the array column ``of``: the hash of the lower-cased word or of the number."""
+    return F.transform(F.col(of), lambda x: F.xxhash64(F.lower(F.rtrim(x, F.lit(STOPS + ",:/")))))
+
+
+def _hash(form: int, of: str, at: Column, size: int) -> Column:
+    """Hash of the window of ``size`` atoms at ``at``; null where it does not fit."""
+    return F.when(at + size <= F.size(of), F.xxhash64(F.lit(form), *[F.get(F.col(of), at + k) for k in range(size)]))
 
 
 def _slices(of: str, size: int) -> Column:
@@ -70,33 +81,34 @@ def _slices(of: str, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """The written table (item_id, at, size, hash, slots, n) of usable windows; n is how many the item has."""
-    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), atoms(F.col(text)).alias("a")).withColumn("h", canonical("a"))
+    """The written table (item_id, form, at, size, hash, slots, n) of usable windows; n is how many the item has in the form."""
+    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), atoms(F.col(text)).alias("a")).withColumns({"h": canonical("a"), "l": literal("a")})
     each = None
     for size in range(1, WINDOW + 1):
-        fits = F.size("h") >= WINDOW if size == WINDOW else F.size("h") == size
-        part = rows.where(fits).select("item_id", F.posexplode(_slices("h", size)).alias("at", "w")).select("item_id", "at", F.lit(size).alias("size"), F.xxhash64(*[F.get("w", F.lit(k)) for k in range(size)]).alias("hash"), F.size(F.filter("w", lambda v: v.between(1, 3))).alias("slots"))
-        each = part if each is None else each.unionByName(part)
+        fits = F.size("a") >= WINDOW if size == WINDOW else F.size("a") == size
+        for form, of in FORMS.items():
+            slots = F.size(F.filter("w", lambda v: v.between(1, 3))) if form != LITERAL else F.lit(0)
+            part = rows.where(fits).select("item_id", F.posexplode(_slices(of, size)).alias("at", "w")).select("item_id", F.lit(form).alias("form"), "at", F.lit(size).alias("size"), _hash(form, "w", F.lit(0), size).alias("hash"), slots.alias("slots"))
+            each = part if each is None else each.unionByName(part)
     usable = each.where((F.col("size") - F.col("slots") >= F.least(F.lit(LITERALS), F.col("size"))) & (F.col("slots") < F.col("size")))
-    count = usable.groupBy("item_id").agg(F.count("*").alias("n"))
-    return common.materialise(usable.join(count, "item_id"), "item-windows")
+    count = usable.groupBy("item_id", "form").agg(F.count("*").alias("n"))
+    return common.materialise(usable.join(count, ["item_id", "form"]), "item-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, containment): one row for each document and item it holds."""
     items = item_windows(benchmark, item_key, item_text)
-    shape = items.agg(F.collect_set("size").alias("sizes"), F.count("*").alias("n")).first()  # five sizes at most
+    shape = items.agg(F.collect_set(F.struct("form", "size")).alias("shapes"), F.count("*").alias("n")).first()  # five sizes of each form at most
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & F.col("doc_id").isNotNull())
-    split = narrow.select("doc_id", F.xxhash64("_text").alias("th"), atoms(F.col("_text")).alias("a")).withColumn("h", canonical("a"))
-    side = items.select("item_id", "at", "size", "hash", "slots", "n")
+    split = narrow.select("doc_id", F.xxhash64("_text").alias("th"), atoms(F.col("_text")).alias("a")).withColumns({"h": canonical("a"), "l": literal("a")}).drop("a")
+    side = items.select("item_id", "form", "at", "size", "hash", "slots", "n")
     if shape["n"] <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
-    hits = None
-    for size in sorted(shape["sizes"]) or [WINDOW]:
-        part = split.select("doc_id", "th", F.posexplode(windows("h", size)).alias("pos", "hash")).join(side.where(F.col("size") == size), "hash").select("doc_id", "th", "pos", "item_id", "at", "size", "slots", "n")
-        hits = part if hits is None else hits.unionByName(part)
-    hits = common.materialise(hits, "hits")
-    pair = ["doc_id", "th", "item_id"]
+    # One pass: each place of a text gives its window of every form and size.
+    here = F.array(*[_hash(form, FORMS[form], F.col("pos"), size) for form, size in sorted(shape["shapes"]) or [(TEMPLATE, WINDOW)]])
+    places = split.select("doc_id", "th", *FORMS.values(), F.posexplode("l").alias("pos", "_l")).select("doc_id", "th", "pos", F.explode(here).alias("hash")).where("hash IS NOT NULL")
+    hits = common.materialise(places.join(side, "hash").select("doc_id", "th", "pos", "item_id", "form", "at", "size", "slots", "n"), "hits")
+    pair = ["doc_id", "th", "item_id", "form"]
 
     def enough(rows: DataFrame) -> DataFrame:
         # Distinct places first, by partial aggregation; an item has no more of them than it has windows.
@@ -119,10 +131,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     clash = values.groupBy(*pair, "shift", "theirs").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).where("low <> high").select(*pair, "shift", "theirs")
     bad = common.materialise(values.join(clash, [*pair, "shift", "theirs"], "left_semi").select(*pair, "at", "shift").distinct(), "inconsistent")
     sound = hits.join(flagged, pair, "left_semi").withColumn("shift", F.col("pos") - F.col("at")).join(bad, [*pair, "at", "shift"], "left_anti")
+    found = enough(sound).groupBy("doc_id", "item_id", "form").agg(F.max("matched").alias("matched_windows"), F.max("n").alias("item_windows"))
     return (
-        enough(sound)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").alias("matched_windows"), F.max("n").alias("item_windows"))
+        found.groupBy("doc_id", "item_id")
+        .agg(F.min(F.struct("form", "matched_windows", "item_windows")).alias("r"))
+        .select("doc_id", "item_id", "r.matched_windows", "r.item_windows")
         .withColumn("containment", F.round(F.col("matched_windows") / F.col("item_windows"), 6))
     )
 

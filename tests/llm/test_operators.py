@@ -234,6 +234,15 @@ def test_decontamination_slots(spark, odd, empty):
     assert decontaminate.keep_clean(odd, items).count() == len(ODD)
 
 
+def test_decontamination_verbatim(spark):
+    items = [(1, "Compute 12 + 7 - 3 * 4 and then 9 - 2"), (2, "Compute 3 + 4"), (3, "4, 8, 15, 16, 23, 42"), (4, "The Old Man And The Sea By Ernest Hemingway"), (5, "What year did the first settlers arrive at Plymouth")]
+    texts = [(i, f"Some words before, and (question: {t}) and more after it.") for i, t in items]
+    texts += [(6, items[4][1].upper()), (7, "Compute 3 + 5 and 12 and 4, 8, 15, 17, 23, 42 by the old man and his sea")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(1, 6)} | {(6, 5)}
+
+
 # -- near duplicates
 
 
