@@ -10,8 +10,11 @@ stand for the same value of the document. Windows on slots that contradict each
 numbers, names or units is found, and text that only has the same outline is not.
 
 Beside the template windows go literal ones: all windows of lower-cased words and numbers, without slots, so that a copy
-is found whatever its slots, its capitals and the text before it. A pair is reported once, by the first form that finds
-it.
+is found whatever its slots, its capitals and the text before it; and loose templates, in which every capitalised word is
+a name, at sentence starts too. An item of SHORT to LONG atoms is also found by a passage that is one edit away, an atom
+replaced, added or left out, unless it has fewer than LITERALS words (another number makes another list): texts that share enough of its literal or loose windows are compared with it atom by atom.
+LONG atoms or more keep CONTAINMENT of their windows through any one edit. A pair is reported once, by the first form
+that finds it; matched_windows are the windows of that form, and after an edit containment can be below CONTAINMENT.
 
 Defined results: null and empty texts hold nothing. Template windows with fewer than LITERALS words outside slots are not
 used; an item of fewer than WINDOW atoms is one window; an item without atoms is never found. Marks between atoms are not
@@ -36,8 +39,12 @@ AFTER_NUMBER = "m g l s h c f v w a j n b in ft ma pa kj min pct bit second".spl
 NUMBER, UNIT, NAME = 1, 2, 3
 STOPS = ".!?\n"
 #: What windows are made of, in order of preference.
-TEMPLATE, LITERAL = 0, 1
-FORMS = {TEMPLATE: "h", LITERAL: "l"}
+TEMPLATE, LITERAL, LOOSE = 0, 1, 2
+FORMS = {TEMPLATE: "h", LITERAL: "l", LOOSE: "g"}
+#: Items of so many atoms are also found after one edit. From LONG on, WINDOW lost windows leave CONTAINMENT of them.
+SHORT, LONG = 6, 29
+#: Seeds of items too short for one edit to leave a whole window: any edit of SHORT atoms or more leaves SEED together.
+SEED = 3
 
 
 def _bare(x: Column) -> Column:
@@ -49,10 +56,13 @@ def _slot(x: Column, before: Column) -> Column:
     first = F.ascii(x)
     number = first.between(48, 57) | ((first > 127) & x.rlike(r"^\p{N}"))
     unit = _bare(x).isin([u for u in UNITS if u not in AFTER_NUMBER]) | (F.coalesce(F.ascii(before).between(48, 57), F.lit(False)) & _bare(x).isin(AFTER_NUMBER))
-    head = F.substring(x, 1, 1)
-    capital = (first.between(65, 90) | ((first > 127) & (head != F.lower(head)))) & (x != F.upper(x))
     inside = before.isNotNull() & ~F.right(before, F.lit(1)).isin(list(STOPS))
-    return F.when(number, NUMBER).when(unit, UNIT).when(capital & inside, NAME)
+    return F.when(number, NUMBER).when(unit, UNIT).when(_capital(x) & inside, NAME)
+
+
+def _capital(x: Column) -> Column:
+    first, head = F.ascii(x), F.substring(x, 1, 1)
+    return (first.between(65, 90) | ((first > 127) & (head != F.lower(head)))) & (x != F.upper(x))
 
 
 def atoms(text: Column) -> Column:
@@ -71,6 +81,15 @@ def literal(of: str) -> Column:
     return F.transform(F.col(of), lambda x: F.xxhash64(F.lower(F.rtrim(x, F.lit(STOPS + ",:/")))))
 
 
+def loose(of: str, strict: str) -> Column:
+    """The canonical array ``strict`` of the atoms ``of``, with every capitalised word a name."""
+    return F.transform(F.col(of), lambda x, i: F.when(~F.get(F.col(strict), i).between(1, 3) & _capital(x), F.lit(NAME).cast("bigint")).otherwise(F.get(F.col(strict), i)))
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"h": canonical("a"), "l": literal("a")}).withColumn("g", loose("a", "h"))
+
+
 def _hash(form: int, of: str, at: Column, size: int) -> Column:
     """Hash of the window of ``size`` atoms at ``at``; null where it does not fit."""
     return F.when(at + size <= F.size(of), F.xxhash64(F.lit(form), *[F.get(F.col(of), at + k) for k in range(size)]))
@@ -81,18 +100,20 @@ def _slices(of: str, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """The written table (item_id, form, at, size, hash, slots, n) of usable windows; n is how many the item has in the form."""
-    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), atoms(F.col(text)).alias("a")).withColumns({"h": canonical("a"), "l": literal("a")})
+    """The written table (item_id, form, at, size, hash, slots, n) of usable windows; n is how many the item has in the form and size, m its atoms."""
+    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), atoms(F.col(text)).alias("a"))
+    rows = _forms(rows).withColumn("m", F.size("a"))
     each = None
     for size in range(1, WINDOW + 1):
-        fits = F.size("a") >= WINDOW if size == WINDOW else F.size("a") == size
+        fits = F.col("m") >= WINDOW if size == WINDOW else F.col("m").between(SHORT, 2 * WINDOW) | (F.col("m") == size) if size == SEED else F.col("m") == size
         for form, of in FORMS.items():
+            fit = F.col("m") == size if form == TEMPLATE and size < WINDOW else fits
             slots = F.size(F.filter("w", lambda v: v.between(1, 3))) if form != LITERAL else F.lit(0)
-            part = rows.where(fits).select("item_id", F.posexplode(_slices(of, size)).alias("at", "w")).select("item_id", F.lit(form).alias("form"), "at", F.lit(size).alias("size"), _hash(form, "w", F.lit(0), size).alias("hash"), slots.alias("slots"))
+            part = rows.where(fit).select("item_id", "m", F.posexplode(_slices(of, size)).alias("at", "w")).select("item_id", "m", F.lit(form).alias("form"), "at", F.lit(size).alias("size"), _hash(form, "w", F.lit(0), size).alias("hash"), slots.alias("slots"))
             each = part if each is None else each.unionByName(part)
-    usable = each.where((F.col("size") - F.col("slots") >= F.least(F.lit(LITERALS), F.col("size"))) & (F.col("slots") < F.col("size")))
-    count = usable.groupBy("item_id", "form").agg(F.count("*").alias("n"))
-    return common.materialise(usable.join(count, ["item_id", "form"]), "item-windows")
+    usable = each.where((F.col("size") - F.col("slots") >= F.least(F.lit(LITERALS), F.col("size") - F.when(F.col("m") > F.col("size"), WINDOW - F.col("size")).otherwise(0))) & (F.col("slots") < F.col("size")))
+    count = usable.groupBy("item_id", "form", "size").agg(F.count("*").alias("n"))
+    return common.materialise(usable.join(count, ["item_id", "form", "size"]), "item-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -100,14 +121,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     items = item_windows(benchmark, item_key, item_text)
     shape = items.agg(F.collect_set(F.struct("form", "size")).alias("shapes"), F.count("*").alias("n")).first()  # five sizes of each form at most
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & F.col("doc_id").isNotNull())
-    split = narrow.select("doc_id", F.xxhash64("_text").alias("th"), atoms(F.col("_text")).alias("a")).withColumns({"h": canonical("a"), "l": literal("a")}).drop("a")
-    side = items.select("item_id", "form", "at", "size", "hash", "slots", "n")
+    split = narrow.select("doc_id", F.xxhash64("_text").alias("th"), atoms(F.col("_text")).alias("a"))
+    split = _forms(split).drop("a")
+    side = items.select("item_id", "form", "at", "size", "hash", "slots", "n", "m")
     if shape["n"] <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
     # One pass: each place of a text gives its window of every form and size.
     here = F.array(*[_hash(form, FORMS[form], F.col("pos"), size) for form, size in sorted(shape["shapes"]) or [(TEMPLATE, WINDOW)]])
     places = split.select("doc_id", "th", *FORMS.values(), F.posexplode("l").alias("pos", "_l")).select("doc_id", "th", "pos", F.explode(here).alias("hash")).where("hash IS NOT NULL")
-    hits = common.materialise(places.join(side, "hash").select("doc_id", "th", "pos", "item_id", "form", "at", "size", "slots", "n"), "hits")
+    hits = common.materialise(places.join(side, "hash").select("doc_id", "th", "pos", "item_id", "form", "at", "size", "slots", "n", "m"), "hits")
+    seeds = hits.where((F.col("form") != TEMPLATE) & F.col("m").between(SHORT, LONG - 1) & (F.col("size") == F.when(F.col("m") > 2 * WINDOW, WINDOW).otherwise(SEED)))
+    hits = hits.where((F.col("size") == WINDOW) | (F.col("size") == F.col("m")))
     pair = ["doc_id", "th", "item_id", "form"]
 
     def enough(rows: DataFrame) -> DataFrame:
@@ -124,14 +148,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     values = (
         slotted.join(mine, ["doc_id", "th"])
         .join(theirs, "item_id")
-        .select(*pair, "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct(_slot(F.get("b", F.col("at") + k), F.get("b", F.col("at") + k - 1)).alias("kind"), _bare(F.get("b", F.col("at") + k)).alias("theirs"), _bare(F.get("a", F.col("pos") + k)).alias("mine")))).alias("v"))
+        .select(*pair, "at", (F.col("pos") - F.col("at")).alias("shift"), F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct(F.coalesce(_slot(F.get("b", F.col("at") + k), F.get("b", F.col("at") + k - 1)), F.when((F.col("form") == LOOSE) & _capital(F.get("b", F.col("at") + k)), NAME)).alias("kind"), _bare(F.get("b", F.col("at") + k)).alias("theirs"), _bare(F.get("a", F.col("pos") + k)).alias("mine")))).alias("v"))
         .where("v.kind IS NOT NULL")
         .select(*pair, "at", "shift", "v.theirs", "v.mine")
     )
     clash = values.groupBy(*pair, "shift", "theirs").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).where("low <> high").select(*pair, "shift", "theirs")
     bad = common.materialise(values.join(clash, [*pair, "shift", "theirs"], "left_semi").select(*pair, "at", "shift").distinct(), "inconsistent")
     sound = hits.join(flagged, pair, "left_semi").withColumn("shift", F.col("pos") - F.col("at")).join(bad, [*pair, "at", "shift"], "left_anti")
-    found = enough(sound).groupBy("doc_id", "item_id", "form").agg(F.max("matched").alias("matched_windows"), F.max("n").alias("item_windows"))
+    found = enough(sound).select("doc_id", "th", "item_id", "form", "matched", "n")
+    edited = _one_edit(seeds.join(found.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti"), narrow, theirs)
+    found = found.unionByName(edited).groupBy("doc_id", "item_id", "form").agg(F.max("matched").alias("matched_windows"), F.max("n").alias("item_windows"))
     return (
         found.groupBy("doc_id", "item_id")
         .agg(F.min(F.struct("form", "matched_windows", "item_windows")).alias("r"))
@@ -140,6 +166,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     )
 
 
+def _one_edit(seeds: DataFrame, narrow: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, form, matched, n): pairs of which the text holds the whole item but for one edit, slots consistent.
+
+    One edit costs an item ``size`` windows at most. Of an alignment with a seed, a prefix of the item must match there and the
+    rest, but for one atom, there or one atom further on either side; or the rest there and the prefix so.
+    """
+    pair = ["doc_id", "th", "item_id", "form"]
+    shared = seeds.select(*pair, "at", "n", "size").distinct().groupBy(*pair).agg(F.count("*").alias("matched"), F.max("n").alias("n"), F.max("size").alias("size")).where(F.col("matched") >= F.greatest(F.lit(1), F.col("n") - F.col("size"))).drop("size")
+    near = common.materialise(seeds.select(*pair, (F.col("pos") - F.col("at")).alias("shift"), "m").distinct().join(shared, pair), "near-items")
+    texts = narrow.withColumn("th", F.xxhash64("_text")).join(near.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    first = F.greatest(F.col("shift") - 2, F.lit(0))
+    rows = near.join(texts.select("doc_id", "th", atoms(F.col("_text")).alias("whole")), ["doc_id", "th"])
+    rows = _forms(rows.select(*near.columns, F.slice("whole", first + 1, F.col("m") + 5).alias("a"), (F.col("shift") - first).alias("o")))
+    rows = rows.select(*near.columns, "o", F.col("a").alias("mine"), F.when(F.col("form") == LOOSE, F.col("g")).otherwise(F.col("l")).alias("x"))
+    items = _forms(theirs.select("item_id", F.col("b").alias("a"))).where(F.size(F.filter("g", lambda v: v != NUMBER)) >= LITERALS).select("item_id", F.col("a").alias("b"), "g", "l")
+    rows = rows.join(items, "item_id").withColumn("y", F.when(F.col("form") == LOOSE, F.col("g")).otherwise(F.col("l"))).drop("g", "l")
+    ways = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(j).alias("q")) for i, j in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])
+    rows = rows.withColumn("way", F.explode(ways))
+    each = F.sequence(F.lit(0), F.col("m") - 1)
+
+    def run(d: Column, backwards: bool) -> Column:
+        same = F.transform(each, lambda k: F.coalesce(F.get("x", F.col("o") + k + d) == F.get("y", k), F.lit(False)))
+        stop = F.array_position(F.reverse(same) if backwards else same, F.lit(False)).cast("int")
+        return F.when(stop == 0, F.col("m")).otherwise(stop - 1)
+
+    rows = rows.withColumn("head", run(F.col("way.p"), False)).withColumn("tail", F.least(run(F.col("way.q"), True), F.col("m") - F.col("head")))
+    rows = rows.where(F.col("head") + F.col("tail") >= F.col("m") - 1)
+    slots = F.filter(each, lambda k: F.get("y", k).between(1, 3) & ((k < F.col("head")) | (k >= F.col("m") - F.col("tail"))))
+    values = F.transform(slots, lambda k: F.struct(_bare(F.get("b", k)).alias("t"), _bare(F.get("mine", F.col("o") + k + F.when(k < F.col("head"), F.col("way.p")).otherwise(F.col("way.q")))).alias("v")))
+    rows = rows.withColumn("values", F.array_distinct(values)).where(F.size(F.array_distinct(F.transform("values", lambda z: z["t"]))) == F.size("values"))
+    return rows.select(*pair, "matched", "n").distinct()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: the documents that hold benchmark items."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -243,6 +243,20 @@ def test_decontamination_verbatim(spark):
     assert got == {(i, i) for i in range(1, 6)} | {(6, 5)}
 
 
+def test_decontamination_edits(spark):
+    alice = "Alice has 5 apples. Bob has 3 pears. How many do Alice and Bob have together?"
+    long = "Every morning John walks 3 km to the old mill and later John walks 5 km back to the quiet village school where he teaches music"
+    short = "Which river flows through the old town of Prague"
+    swap = lambda t: t.replace("Alice", "Carol").replace("Bob", "David").replace("5", "7").replace("3", "9")
+    texts = [swap(alice), swap(alice).replace("Carol and David", "Erin and Frank"), long.upper(), long.lower(), long.replace("old mill", "new mill"), swap(alice).replace("together", "altogether")]
+    texts += [alice.replace("many", "much"), alice.replace("How many", "So how many"), alice.replace(" do", "")]
+    texts += [short.replace("old", "new"), short.replace("the old", "the very old"), short.replace(" flows", ""), short.replace("Which", "What"), "Which river flows through the new city of Prague", "through the old town of Prague"]
+    docs = spark.createDataFrame([(i, f"Some text, {t} And more.") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, alice), (2, long), (3, short)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(i, 1) for i in (0, 5, 6, 7, 8)} | {(i, 2) for i in (2, 3, 4)} | {(i, 3) for i in (9, 10, 11, 12)}
+
+
 # -- near duplicates
 
 
