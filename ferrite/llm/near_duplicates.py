@@ -145,8 +145,8 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def cells(representatives: DataFrame) -> DataFrame:
     """The written table (rep, bucket, i, j) from (rep, keys): where representatives meet."""
-    rows = representatives.select("rep", F.explode("keys").alias("bucket"))
-    # Members repeat under one rep only where a doc_id has several texts.
+    # Rows of one doc_id share its rep: each rep is one member, or a pair of them would cancel in the xor.
+    rows = representatives.select("rep", F.explode("keys").alias("bucket")).distinct()
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
     buckets = common.materialise(sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     members = rows.join(buckets, "bucket").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))

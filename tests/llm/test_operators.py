@@ -313,6 +313,15 @@ def test_near_duplicates_in_chunks(spark):
     assert got == sorted(brute_groups(rows))
 
 
+def test_near_duplicates_of_rows_that_occur_twice(spark):
+    rows = []
+    for k in range(12):
+        w = [f"p{k}w{i}" for i in range(60)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "other"]))]
+    got = sorted(map(tuple, near_duplicates.group(spark.createDataFrame(rows + rows, "doc_id bigint, text string")).collect()))
+    assert got == sorted(brute_groups(rows) * 2)
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = [tuple(r) for r in near_duplicates.group(odd).collect()]
     assert len(got) == len(ODD)
