@@ -13,8 +13,8 @@ All windows then hold the target proportions and all sequences but the last are
 sources' own token counts, so that all queues end together.
 
 Defined results: a null text is an empty one, whose only token is the end mark. A null source is a queue of its own.
-Weights of unknown sources are ignored; sources without one, or with one below 1, weigh 1. Beyond MAX_QUEUES sources,
-sources share queues by hash. Repeated rows are packed each. No rows give no pieces.
+Weights of unknown sources are ignored; sources without one, or with one below 1, weigh 1. Every source
+has its own queue; for over MAX_QUEUES of them the grants are a table, not driver data, with the same result. Repeated rows are packed each. No rows give no pieces.
 """
 
 from __future__ import annotations
@@ -42,6 +42,9 @@ SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
 END = 0  # id after each document
 MAX_QUEUES = 4096
+ROUNDS = 4096
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
+PIECE = ", ".join(f"{c} bigint" for c in COLUMNS)
 #: The first code point that pieces() leaves to the tokenizer itself.
 _BEYOND = 0x250
 _OTHER = re.compile(f"[^\\x00-{chr(_BEYOND - 1)}]")
@@ -186,43 +189,110 @@ class Schedule:
             done = stop - at
 
 
+def _cut(doc, n: int, ids: np.ndarray, begin: int, where: int, k: int, sequence: int) -> list[tuple]:
+    """The pieces of a run of one document's tokens, cut at the sequences' borders."""
+    out, done = [], 0
+    while done < len(ids):
+        sequence_id, offset = divmod(where + done, sequence)
+        size = min(len(ids) - done, sequence - offset)
+        out.append((doc, begin + done, size, zlib.crc32(ids[done : done + size].tobytes()), n, sequence_id, offset, k))
+        done += size
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str | None, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window) of every piece of every document."""
     tokens = tokenise(docs, tokenizer or default_tokenizer(), key, text, source)
     spark = docs.sparkSession
-    n_queues = tokens.select("queue").distinct().count()
-    queue: Column = F.col("queue") if n_queues <= MAX_QUEUES else F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-    # Without shared queues `before` is a position in the block's part of the queue; else it is one within a sub-queue.
-    parts = tokens.groupBy("block", "queue").agg(F.sum("n").alias("_sum")).withColumn("_q", queue)
-    along = Window.partitionBy("_q").orderBy("block", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tokens.groupBy("block", "queue").agg(F.sum("n").alias("_sum"))
+    along = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.materialise(parts.withColumn("_start", F.coalesce(F.sum("_sum").over(along), F.lit(0))), "queue-starts")
-    sums = {r["_q"]: r["n"] for r in starts.groupBy("_q").agg(F.sum("_sum").alias("n")).collect()}
-    order = sorted(sums)
     given = {"n" if k is None else "s" + k: v for k, v in (weights or {}).items()}
+    if starts.select("queue").distinct().count() > MAX_QUEUES:
+        return _pack_by_table(tokens, starts, given if weights else None, sequence, window)
+    sums = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("_sum").alias("n")).collect()}
+    order = sorted(sums)
     plan = Schedule(tuple(sums[q] for q in order), tuple(max(1, int(given.get(q, 1) * 1_000_000 if weights else sums[q])) for q in order), window)
     index = {q: i for i, q in enumerate(order)}
     shared = spark.sparkContext.broadcast((plan, index))
-    placed = tokens.join(starts.select("block", "queue", "_q", "_start"), ["block", "queue"]).select("doc_id", "_q", (F.col("_start") + F.col("before")).alias("at"), "n", "ids")
+    placed = tokens.join(starts.select("block", "queue", "_start"), ["block", "queue"]).select("doc_id", F.col("queue").alias("_q"), (F.col("_start") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan, index = shared.value
         starts = lru_cache(maxsize=4096)(plan.round_starts)
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
         for b in batches:
             out = []
             for doc, q, at, n, raw in zip(b["doc_id"], b["_q"], b["at"], b["n"], b["ids"], strict=True):
                 ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
                 for begin, length, where, k in plan.segments(index[q], int(at), int(n), starts):
-                    done = 0
-                    while done < length:
-                        sequence_id, offset = divmod(where + done, sequence)
-                        size = min(length - done, sequence - offset)
-                        first = begin + done
-                        out.append((doc, first, size, zlib.crc32(ids[first : first + size].tobytes()), n, sequence_id, offset, k))
-                        done += size
+                    out += _cut(doc, n, ids[begin : begin + length], begin, where, k, sequence)
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+
+    return placed.mapInPandas(run, PIECE)
+
+
+def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, float] | None, sequence: int, window: int) -> DataFrame:
+    """What ``pack`` returns, for any number of queues: each queue's grants are rows, and runs of tokens meet them by round."""
+    spark = tokens.sparkSession
+    queues = starts.groupBy("queue").agg(F.sum("_sum").alias("total"))
+    if given is None:
+        queues = queues.withColumn("weight", F.greatest("total", F.lit(1)))
+    else:
+        known = spark.createDataFrame([(q, max(1, int(v * 1_000_000))) for q, v in given.items()], "queue string, weight bigint")
+        queues = queues.join(known, "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(1_000_000)))
+    queues = common.materialise(queues, "queues")
+    whole = int(queues.agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("w")).first()["w"])
+
+    def grants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["queue", "k", "amount"]
+        for b in batches:
+            out = []
+            for q, total, w in zip(b["queue"], b["total"].tolist(), b["weight"].tolist(), strict=True):
+                sent = 0
+                while sent < total:  # on to the next round in which the queue sends anything
+                    k = -(-(sent + 1) * whole // (window * w)) - 1
+                    now = min(total, (k + 1) * window * w // whole)
+                    out.append((q, k, now - sent))
+                    sent = now
+                    if len(out) >= 50_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns).astype({"k": "int64", "amount": "int64"})
+
+    grant = common.materialise(queues.mapInPandas(grants, "queue string, k bigint, amount bigint"), "grants")
+    before = lambda w: F.coalesce(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Rounds before a round: sums of ROUNDS rounds along the whole, then along the rounds of each.
+    rounds = grant.groupBy("k").agg(F.sum("amount").alias("amount")).withColumn("part", F.floor(F.col("k") / ROUNDS))
+    far = rounds.groupBy("part").agg(F.sum("amount").alias("amount")).select("part", before(Window.orderBy("part")).alias("far"))
+    rounds = rounds.withColumn("near", before(Window.partitionBy("part").orderBy("k"))).join(far, "part").select("k", (F.col("far") + F.col("near")).alias("base"))
+    grant = grant.withColumn("inside", before(Window.partitionBy("k").orderBy("queue"))).join(rounds, "k").select("queue", "k", (F.col("base") + F.col("inside")).alias("at"))
+    runs = tokens.join(starts.join(queues, "queue").select("block", "queue", "_start", "total", "weight"), ["block", "queue"])
+    runs = runs.select("doc_id", "queue", (F.col("_start") + F.col("before")).alias("at"), "n", "ids", "total", "weight")
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "queue", "k", "inside", "start", "doc_tokens", "ids"]
+        for b in batches:
+            out = []
+            for doc, q, at, n, raw, w in zip(b["doc_id"].astype("Int64"), b["queue"], b["at"].tolist(), b["n"].tolist(), b["ids"], b["weight"].tolist(), strict=True):
+                ids, done = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4"), 0
+                while done < n:
+                    k = -(-(at + done + 1) * whole // (window * w)) - 1
+                    low, high = k * window * w // whole, (k + 1) * window * w // whole
+                    stop = min(n, high - at)
+                    out.append((doc, q, k, at + done - low, done, n, ids[done:stop].tobytes()))
+                    done = stop
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    return placed.mapInPandas(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window bigint")
+    met = runs.mapInPandas(segments, "doc_id bigint, queue string, k bigint, inside bigint, start bigint, doc_tokens bigint, ids binary").join(grant, ["queue", "k"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, n, raw, begin, where, k in zip(b["doc_id"].astype("Int64"), b["doc_tokens"].tolist(), b["ids"], b["start"].tolist(), (b["at"] + b["inside"]).tolist(), b["k"].tolist(), strict=True):
+                out += _cut(doc, n, np.frombuffer(raw, "<u4"), begin, where, k, sequence)
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+
+    return met.mapInPandas(cut, PIECE)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

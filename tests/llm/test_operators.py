@@ -120,6 +120,19 @@ def test_url_rules(spark):
 # -- packing
 
 
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
+    rows = [(i, f"some words of text number {i} " * (i % 7 + 1), f"host{i % 23}" if i % 23 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    for weights in (None, {"host1": 3, "host2": 0.5, None: 2}):
+        few = sorted(map(tuple, packing.pack(docs, weights=weights, sequence=16, window=256).collect()))
+        limit, packing.MAX_QUEUES = packing.MAX_QUEUES, 4
+        try:
+            many = sorted(map(tuple, packing.pack(docs, weights=weights, sequence=16, window=256).collect()))
+        finally:
+            packing.MAX_QUEUES = limit
+        assert many and many == few
+
+
 def check_packing(rows, docs):
     from tokenizers import Tokenizer
 
