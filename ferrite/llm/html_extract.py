@@ -9,6 +9,7 @@ and expected features, by the same messages. The labelled pages come from ``labe
 
 Defined results: null, empty or textless pages give an empty text. Unclosed and stray tags, cut-off pages, unknown tags
 and bare text are parsed as browsers would roughly do; a tag cut off at the end is dropped. ``<br>`` is white space.
+The head ends at its end tag, or at the first text or tag that no head holds. Formulas in ``<math>`` and ``<xmp>`` are text.
 Nothing is dropped for length or depth. Repeated rows each get a row; other columns are not read.
 """
 
@@ -30,7 +31,9 @@ from . import common
 
 #: Element kinds of HTML.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
-RAW = frozenset("script style title textarea template svg math iframe noembed noframes xmp".split())
+RAW = frozenset("script style title textarea template svg annotation annotation-xml iframe noembed noframes xmp".split())
+#: What a head may hold; any other tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "optgroup"})}
@@ -118,11 +121,12 @@ def parse(source: str | None) -> Page:
             tail = src[at:]
             cut = re.search(r"<[a-zA-Z/!][^<]*$", tail)
             tail = tail[: cut.start()] if cut else tail
-            if not in_head:
+            if not in_head or tail.strip():
                 parts.append(tail)
                 linked.append(tail) if state["a"] else None
             break
-        if m.start() > at and not in_head:
+        if m.start() > at and not (in_head and src[at : m.start()].isspace()):
+            in_head = False
             piece = src[at : m.start()]
             parts.append(piece)
             if state["a"]:
@@ -135,15 +139,18 @@ def parse(source: str | None) -> Page:
         if tag == "head":
             in_head = not closing
             continue
-        if tag in RAW and not closing:
+        if in_head and (tag not in HEAD and not closing or closing and tag in ("body", "html", "br")):
+            in_head = False
+        if (tag in RAW or in_head and tag == "noscript") and not closing:
+            inside = at
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(src, at)
                 at = end.end() if end else len(src)
+                if tag == "xmp":
+                    parts.append(f" {html.escape(src[inside : end.start() if end else len(src)])} ")
             if tag in ("textarea", "iframe"):
                 parts.append(" ")
             continue
-        if tag == "body":
-            in_head = False
         if in_head:
             continue
         if tag == "br":

@@ -481,6 +481,16 @@ def test_messages_are_exact():
     assert all(abs(h / total - b) < 1e-9 for h, b in zip(hit, belief, strict=True))
 
 
+def test_html_head_without_end_and_raw_text():
+    text = lambda source: " ".join(t for t in html_extract.parse(source).texts if t)
+    assert text("<html><head><title>T</title><meta charset=x><style>s</style><article><p>One two.</p></article>") == "One two."
+    assert text("<head><title>T</title><noscript><p>no</p></noscript> Bare text<p>more") == "Bare text more"
+    assert text("<head><title>T</title>\n<script>x</script>\n</head>\n<body><p>One</p>") == "One"
+    assert text("<head><link rel=x>only text") == "only text"
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>3</mn><annotation>tex</annotation></math> hold.</p>") == "Let x=3 hold."
+    assert text("<p>See</p><xmp><b>a &amp; b</b></xmp> end") == "See <b>a &amp; b</b> end"
+
+
 def test_html_held_out_pages():
     model, right, total = html_extract.default_model(), 0, 0
     for source, content in html_extract.labelled_pages(120, seed=99):
