@@ -1,12 +1,16 @@
-"""Helpers shared by the training-data operators: shared storage, hashing, bounded samples."""
+"""Helpers shared by the training-data operators: shared storage, hashing, Arrow batches, bounded samples."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
@@ -19,43 +23,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    With neither, a temporary folder serves a driver that is its own only executor; on a cluster that is an error, as
+    each executor would write to its own disk.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or getattr(sc, "_ferrite_shared", None)
     if not base:
-        sc = spark.sparkContext
-        base = sc.getCheckpointDir() or getattr(sc, "_ferrite_shared", None)
-        if not base:
-            base = sc._ferrite_shared = "file://" + tempfile.mkdtemp(prefix="ferrite-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = sc._ferrite_shared = "file://" + tempfile.mkdtemp(prefix="ferrite-")
     return base.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ferrite-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ferrite-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def clean_up(spark: SparkSession) -> int:
-    """Delete all scratch tables and bundles in the shared folder; how many there were. Results that still read them fail."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = top.getFileSystem(conf)
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "ferrite-*")) or []
-    for status in found:
-        fs.delete(status.getPath(), True)
-    return len(found)
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors."""
+def clean_up(spark: SparkSession) -> bool:
+    """Delete this application's scratch tables and bundles in the shared folder. Results that still read them fail."""
+    return _delete(spark, _own_folder(spark))
+
+
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors.
+
+    ``by`` makes a folder for each value of that column, so that a later filter on it reads only those.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ferrite_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for df in written:
+        _delete(df.sparkSession, df._ferrite_path)
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Ship the package, and keep Arrow batches of whole texts small enough for an executor's Python workers."""
+    """Ship the package; lower the session's rows per Arrow batch where whole texts would not fit a Python worker."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def map_column(df: DataFrame, column: str, schema: str, work: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """The other columns of ``df`` as they are, and what ``work`` makes of ``column``.
+
+    Columns pass through as Arrow arrays, so a bigint next to a null stays what it is. ``work()`` runs once a task and
+    returns a function from a batch's values to the arrays of ``schema``.
+    """
+    out = StructType([f for f in df.schema if f.name != column] + StructType.fromDDL(schema).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = work()
+        for b in batches:
+            rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != column]
+            yield pa.RecordBatch.from_arrays([*rest, *compute(b.column(b.schema.names.index(column)).to_pylist())], out.names)
+
+    return df.mapInArrow(run, out)
 
 
 def crc_mod(col: str, n: int) -> Column:
@@ -63,25 +105,28 @@ def crc_mod(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, columns: list[str]) -> list:
-    """At most ``per_stratum`` rows of each stratum, chosen by a hash of ``key`` alone.
+def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, columns: dict[str, Column]) -> list:
+    """min(``per_stratum``, all) keys of each stratum, those of the least hashes: rows (_key, stratum, *columns) in hash order.
 
-    Each stratum is dealt into ``per_stratum`` hash buckets and the row with the least hash of a bucket is taken: one
-    hash aggregation over (key, stratum), then one filtered read. What reaches the driver is bounded by
-    ``per_stratum`` times the number of strata, whatever the size of the input. Rows with equal keys count once.
+    One aggregation counts each stratum's distinct keys. A second keeps those below a hash that lets about twice as many
+    pass, so what reaches the driver is bounded by ``per_stratum`` and the number of strata, whatever the input's size;
+    should fewer pass, a larger hash is taken. Rows with equal keys count once, with the least of each column.
     """
-    h = F.xxhash64(F.col(key))
-    picked = (
-        df.where(F.col(stratum).isNotNull() & F.col(key).isNotNull())
-        .groupBy(F.col(stratum).alias("_s"), F.pmod(h, F.lit(per_stratum)).alias("_b"))
-        .agg(F.min(h).alias("_h"))
-        .select("_h")
-        .distinct()
-        .collect()
-    )
-    wanted = [r["_h"] for r in picked]
-    if not wanted:
+    rows = df.where(F.col(stratum).isNotNull() & F.col(key).isNotNull())
+    distinct = rows.groupBy(F.col(stratum).alias("_s"), F.xxhash64(F.col(key)).alias("_h")).agg(F.count("*").alias("_n"))
+    size = {r["_s"]: r["n"] for r in distinct.groupBy("_s").agg(F.count("*").alias("n")).collect()}
+    if not size or per_stratum < 1:
         return []
-    rows = df.where(h.isin(wanted) & F.col(stratum).isNotNull())
-    rest = [c for c in columns if c != stratum]
-    return rows.groupBy(F.col(key).alias("_key"), F.col(stratum)).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in rest]).orderBy(F.xxhash64("_key"), stratum).collect()
+    room = 2.0
+    while True:
+        limit = {s: int(min(1.0, (per_stratum * room + 64) / n) * 2**64) - 2**63 - 1 for s, n in size.items()}
+        least = F.create_map(*[x for s, v in limit.items() for x in (F.lit(s), F.lit(v).cast("bigint"))])
+        below = rows.where(F.xxhash64(F.col(key)) <= F.element_at(least, F.col(stratum)))
+        got = below.groupBy(F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_key"), F.col(stratum)).agg(F.count("*").alias("_n"), *[F.min(c).alias(k) for k, c in columns.items()]).collect()
+        held: dict = {}
+        for r in sorted(got, key=lambda r: (r["_h"], str(r["_key"]))):
+            held.setdefault(r[stratum], []).append(r)
+        if all(len(held.get(s, [])) >= min(per_stratum, n) for s, n in size.items()):
+            break
+        room *= 4
+    return sorted((r for rs in held.values() for r in rs[:per_stratum]), key=lambda r: (r["_h"], str(r[stratum])))

@@ -5,18 +5,17 @@ dictionary. ``predict`` normalises a whole text (lower case, letters only), cuts
 against every dictionary and sums the sizes. The smallest sum wins; a narrow margin marks the answer as rejected.
 
 Defined results: null, empty or letterless texts give ``und`` with score 0. Equal sums go to the language that is more
-frequent in the sample's population, then to the smaller name. With no labelled row every text is ``und``. Repeated
-rows each get a row. Other columns of the input are not read.
+frequent in the sample's population, then to the smaller name. With no labelled row every text is ``und``. Numerals such
+as \u00bd or \u2167 are no letters. Repeated rows each get a row. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def normalise(text: str) -> bytes:
-    """Lower-cased letters of the whole text, every run of anything else as one space."""
+    """The whole text in lower case, every run of marks, digits and white space as one space."""
     return (" " + _NOT_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace")
 
 
@@ -59,11 +58,9 @@ class LanguageModel:
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, rejected)."""
-        if not text or not self.dictionaries:
+        if not text or not self.dictionaries or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         data = normalise(text)
-        if len(data) <= 2:
-            return UNDETERMINED, 0.0, True
         cuts = range(0, len(data), self.chunk)
         sizes = {lang: sum(len(c.compress(data[i : i + self.chunk])) for i in cuts) for lang, c in self.compressors().items()}
         order = sorted(sizes, key=lambda k: (sizes[k], -self.prior.get(k, 0), k))
@@ -75,12 +72,17 @@ class LanguageModel:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 512, chars_per_doc: int = 512, **settings) -> LanguageModel:
-    """Learn from labelled rows; at most ``docs_per_language`` texts of each language, ``chars_per_doc`` letters of each."""
-    rows = common.bounded_sample(train.select(key, text, lang).where(F.col(text).isNotNull()), key, lang, docs_per_language, [text])
+    """Learn from labelled rows: ``docs_per_language`` texts of each language (all, if fewer), ``chars_per_doc`` bytes of each.
+
+    The part of a longer text starts at a place that a hash of its key chooses, so no part of texts is left out.
+    """
+    room = F.greatest(F.length(text) - 2 * chars_per_doc, F.lit(0)) + 1
+    part = F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit("part")), room) + 1).cast("int"), F.lit(2 * chars_per_doc))
+    rows = common.bounded_sample(train.where(F.col(text).isNotNull()), key, lang, docs_per_language, {"_part": part})
     prior = {r[0]: r[1] for r in train.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
     raw: dict[str, list[bytes]] = {}
     for r in rows:
-        raw.setdefault(r[lang], []).append(normalise(r[text][: chars_per_doc * 2])[:chars_per_doc])
+        raw.setdefault(r[lang], []).append(normalise(r["_part"])[:chars_per_doc])
     return LanguageModel({k: b"".join(v) for k, v in sorted(raw.items())}, prior, **settings)
 
 
@@ -88,19 +90,18 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     """(key, *extra, lang_pred, score, rejected) for every row, from its whole text alone."""
     common.python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = extra or {}
-    narrow = docs.select(F.col(key), F.col(text).alias("_text"), *[c.alias(k) for k, c in extra.items()])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text") + ", lang_pred string, score double, rejected boolean"
+    narrow = docs.select(F.col(key), F.col(text).alias("_text"), *[c.alias(k) for k, c in (extra or {}).items()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         m = shared.value
-        for b in batches:
-            got = [m.classify(t) for t in b["_text"]]
-            out = b.drop(columns="_text")
-            out["lang_pred"], out["score"], out["rejected"] = [x[0] for x in got], [x[1] for x in got], [x[2] for x in got]
-            yield out
 
-    return narrow.mapInPandas(run, schema)
+        def compute(texts: list) -> list[pa.Array]:
+            lang, score, rejected = zip(*map(m.classify, texts), strict=True) if texts else ((), (), ())
+            return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+
+        return compute
+
+    return common.map_column(narrow, "_text", "lang_pred string, score double, rejected boolean", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

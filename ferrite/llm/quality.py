@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,10 +115,10 @@ def train(examples: list[tuple[str | None, int, float]], epochs: int = 4, alpha:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Train on at most ``per_label`` labelled documents of each label, whole texts, weighted back to the labels' shares."""
+    """Train on ``per_label`` labelled documents of each label (all, if fewer), whole texts, weighted back to the labels' shares."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_y"))
     share = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    rows = common.bounded_sample(known, key, "_y", per_label, [])
+    rows = common.bounded_sample(known, key, "_y", per_label, {})
     label_of = {r["_key"]: r["_y"] for r in rows}
     if not label_of:
         return train([])
@@ -133,19 +133,18 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep: li
     """(*keep, *extra, score, predicted) for every row; predicted is 1 where score >= threshold."""
     common.python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
-    keep, extra = keep or ["doc_id"], extra or {}
-    narrow = docs.select(*keep, F.col(text).alias("_scored_text"), *[c.alias(k) for k, c in extra.items()])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_scored_text") + ", score double, predicted int"
+    narrow = docs.select(*(keep or ["doc_id"]), F.col(text).alias("_scored_text"), *[c.alias(k) for k, c in (extra or {}).items()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         m, memo = QualityModel(*shared.value), _Memo()
-        for b in batches:
-            out = b.drop(columns="_scored_text")
-            out["score"] = [m.score(t, memo) for t in b["_scored_text"]]
-            out["predicted"] = (out["score"] >= threshold).astype("int32")
-            yield out
 
-    return narrow.mapInPandas(run, schema)
+        def compute(texts: list) -> list[pa.Array]:
+            scores = [m.score(t, memo) for t in texts]
+            return [pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())]
+
+        return compute
+
+    return common.map_column(narrow, "_scored_text", "score double, predicted int", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -158,11 +157,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
     common.python_ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+    shared, names = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept)), docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = QualityModel(*shared.value), _Memo()
+        at = names.index(text)
         for b in batches:
-            yield b[[m.score(t, memo) >= threshold for t in b[text]]]
+            yield b.filter(pa.array([m.score(t, memo) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
