@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Up to this many rules (of at most MAX_RULE characters each) are broadcast; more are joined by shuffle.
+#: Up to this many rules are broadcast (a digest and four numbers each); more are joined by shuffle.
 BROADCAST_RULES = 50_000
-MAX_RULE = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,11 +40,12 @@ def _short(digest: Column) -> Column:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """(short, digest, weight) of rules (host, path, verdict); weight orders rules that fit one URL, block in its lowest bit."""
+    """(short, digest, weight, labels, cut) of rules (host, path, verdict); weight orders rules that fit one URL."""
     host, path = F.translate(F.col("host"), UPPER, LOWER), F.col("path")
+    weight = F.struct((F.length(host) + F.length(path)).alias("total"), F.length(host).alias("host"), (F.col("verdict") == "block").alias("block"))
     return (
-        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isin("allow", "block") & (F.length("host") + F.length("path") <= MAX_RULE))
-        .select(_digest(host, path).alias("digest"), (((F.length(host) + F.length(path)) * (MAX_RULE + 1) + F.length(host)) * 2 + (F.col("verdict") == "block").cast("int")).cast("bigint").alias("weight"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("cut"))
+        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isin("allow", "block"))
+        .select(_digest(host, path).alias("digest"), weight.alias("weight"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("cut"))
         .groupBy("digest")
         .agg(F.max("weight").alias("weight"), F.max("labels").alias("labels"), F.max("cut").alias("cut"))
         .withColumn("short", _short(F.col("digest")))
@@ -55,7 +55,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict) for every row of ``pages``."""
     ruled = prepare_rules(rules)
-    # At most 128 label counts and MAX_RULE prefix lengths exist, however many rules there are.
+    # As many label counts and prefix lengths as occur: a few hundred, however many rules there are.
     shape = ruled.agg(F.collect_set("labels").alias("labels"), F.collect_set("cut").alias("cuts"), F.count("*").alias("n")).first()
     labels, cuts = sorted(shape["labels"]), sorted(shape["cuts"])
     host, path = split_url(F.col("_url"))
@@ -72,12 +72,10 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         side = F.broadcast(side)
     met = expressions.join(side, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")), "left")
     best = met.groupBy("_row", key, "host", "path").agg(F.max("weight").alias("_w"))
-    code = F.floor(F.col("_w") / 2).cast("bigint")
-    host_len = (code % (MAX_RULE + 1)).cast("int")
-    path_len = (F.floor(code / (MAX_RULE + 1)).cast("int") - host_len).cast("int")
+    host_len = F.col("_w.host")
     # The fitting rule is the URL's own suffix and prefix of these lengths.
-    rule = F.concat(F.substring(F.col("host"), F.length("host") - host_len + 1, host_len), F.substring(F.col("path"), F.lit(1), path_len))
-    return best.select(key, "host", "path", F.when(F.col("_w").isNotNull(), rule).alias("rule"), F.when(F.col("_w").isNull(), default).when(F.col("_w") % 2 == 1, "block").otherwise("allow").alias("verdict"))
+    rule = F.concat(F.substring(F.col("host"), F.length("host") - host_len + 1, host_len), F.substring(F.col("path"), F.lit(1), F.col("_w.total") - host_len))
+    return best.select(key, "host", "path", F.when(F.col("_w").isNotNull(), rule).alias("rule"), F.when(F.col("_w").isNull(), default).when(F.col("_w.block"), "block").otherwise("allow").alias("verdict"))
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
