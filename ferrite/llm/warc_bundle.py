@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,6 +35,11 @@ BUNDLE_BYTES = 1 << 26  # a bundle closes when it holds this much before compres
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, bundle string, frame int, offset bigint, length bigint"
+INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
+RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+#: Tasks that read archives, at most; each reads whole bundles.
+READERS = 20_000
 
 
 def digest(payload: bytes) -> str:
@@ -155,42 +160,42 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     refers = F.when(F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("last"))), F.col("last"))
     todo = joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _store(folder)
         fs.create_dir(top, recursive=True)
         writer, name, out = None, "", []
 
-        def done() -> pd.DataFrame:
+        def done() -> pa.RecordBatch:
             writer.close()
-            got = pd.DataFrame(out, columns=["page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
+            got = pa.RecordBatch.from_pylist(out, INDEX_ARROW)
             out.clear()
             return got
 
         for b in batches:
-            for page_id, u, text, ref in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
+            for page_id, u, text, ref in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(fs.open_output_stream(f"{top}/{name}", compression=None))
-                data = record(None if pd.isna(page_id) else int(page_id), u, text.encode("utf-8", "surrogatepass"), None if pd.isna(ref) else int(ref))
+                data = record(page_id, u, text.encode("utf-8", "surrogatepass"), ref)
                 frame, offset = writer.add(data)
-                out.append((None if pd.isna(page_id) else int(page_id), f"{folder}/{name}", frame, offset, len(data)))
+                out.append({"page_id": page_id, "bundle": f"{folder}/{name}", "frame": frame, "offset": offset, "length": len(data)})
                 if writer.total >= BUNDLE_BYTES:
                     yield done()
                     writer = None
         if writer is not None:
             yield done()
 
-    return common.materialise(todo.mapInPandas(run, INDEX), "warc-index")
+    return common.materialise(todo.mapInArrow(run, INDEX), "warc-index")
 
 
 def read(index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, parsed from the archives."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         urn = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
         for b in batches:
-            for bundle in b["bundle"]:
+            for bundle in b.column(0).to_pylist():
                 fs, path = _store(bundle)
                 with fs.open_input_file(path) as f:
                     for at, packed, full in seek_table(f):
@@ -199,11 +204,12 @@ def read(index: DataFrame) -> DataFrame:
                         for _, h, body in parse_records(unpack.decompress(f.read(packed), max_output_size=full)):
                             if h["WARC-Type"] == "response" and digest(body) != h["WARC-Payload-Digest"][5:]:
                                 raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-                            rows.append((urn(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], h["WARC-Type"], urn(h.get("WARC-Refers-To"))))
-                        yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            rows.append({"page_id": urn(h["WARC-Record-ID"]), "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"][5:], "record_type": h["WARC-Type"], "refers_to": urn(h.get("WARC-Refers-To"))})
+                        yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
 
-    bundles = index.select("bundle").distinct().repartition(F.col("bundle"))
-    return bundles.mapInPandas(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    bundles = index.select("bundle").distinct()
+    # A number of its own, as AQE would gather the short names in one task; dealt in turn, so that each task has its share.
+    return bundles.repartition(max(1, min(READERS, bundles.count()))).mapInArrow(run, RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
