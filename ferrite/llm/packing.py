@@ -13,8 +13,9 @@ All windows then hold the target proportions and all sequences but the last are
 sources' own token counts, so that all queues end together.
 
 Defined results: a null text is an empty one, whose only token is the end mark. A null source is a queue of its own.
-Weights of unknown sources are ignored; sources without one, or with one below 1, weigh 1. Every source
-has its own queue; for over MAX_QUEUES of them the grants are a table, not driver data, with the same result. Repeated rows are packed each. No rows give no pieces.
+Weights of unknown sources are ignored; sources without one weigh 1; a weight counts to six decimals and must be positive.
+Every source has its own queue; for over MAX_QUEUES of them the grants are a table, not driver data, with the same
+result. Repeated rows are packed each. No rows give no pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ MAX_QUEUES = 4096
 ROUNDS = 4096
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
 PIECE = ", ".join(f"{c} bigint" for c in COLUMNS)
+PIECE_ARROW = pa.schema([(c, pa.int64()) for c in COLUMNS])
 #: The first code point that pieces() leaves to the tokenizer itself.
 _BEYOND = 0x250
 _OTHER = re.compile(f"[^\\x00-{chr(_BEYOND - 1)}]")
@@ -67,6 +69,7 @@ def _pieces() -> re.Pattern:
 PIECES = _pieces()
 _MEMO_LIMIT, _MEMO_CHARS = 400_000, 48
 TOKENS = "block int, queue string, doc_id bigint, before bigint, n bigint, ids binary"
+TOKENS_ARROW = pa.schema([("block", pa.int32()), ("queue", pa.string()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def default_tokenizer() -> str:
@@ -139,21 +142,29 @@ def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     queue = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), queue.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         block, sent = TaskContext.get().partitionId(), {}
         width = encoder.dtype().itemsize
         for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.iloc[at : at + 128]
-                ids = encoder.encode(part["text"].tolist())
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                queues, ids = part.column(1).to_pylist(), encoder.encode(part.column(2).to_pylist())
                 before, n = [], [len(x) // width for x in ids]
-                for q, k in zip(part["queue"], n, strict=True):
+                for q, k in zip(queues, n, strict=True):
                     before.append(sent.get(q, 0))
                     sent[q] = before[-1] + k
-                yield pd.DataFrame({"block": np.int32(block), "queue": part["queue"].to_numpy(), "doc_id": part["doc_id"].astype("Int64").to_numpy(), "before": before, "n": n, "ids": ids})
+                yield _batch([[block] * len(ids), queues, part.column(0), before, n, ids], TOKENS_ARROW)
 
-    return common.materialise(rows.mapInPandas(run, TOKENS), "tokens")
+    return common.materialise(rows.mapInArrow(run, TOKENS), "tokens")
+
+
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return _batch(list(zip(*rows, strict=True)) if rows else [[] for _ in schema], schema)
 
 
 @dataclass(frozen=True)
@@ -189,6 +200,17 @@ class Schedule:
             done = stop - at
 
 
+def _lists(b: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
+def _units(weights: dict[str | None, float] | None) -> dict[str, int] | None:
+    """Weights as whole millionths by queue name."""
+    if weights and not all(v > 0 for v in weights.values()):
+        raise ValueError("weights must be positive")
+    return {"n" if k is None else "s" + k: max(1, round(v * 1_000_000)) for k, v in weights.items()} if weights else None
+
+
 def _cut(doc, n: int, ids: np.ndarray, begin: int, where: int, k: int, sequence: int) -> list[tuple]:
     """The pieces of a run of one document's tokens, cut at the sequences' borders."""
     out, done = [], 0
@@ -207,47 +229,47 @@ def pack(docs: DataFrame, tokenizer: str | None = None, weights: dict[str | None
     parts = tokens.groupBy("block", "queue").agg(F.sum("n").alias("_sum"))
     along = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.materialise(parts.withColumn("_start", F.coalesce(F.sum("_sum").over(along), F.lit(0))), "queue-starts")
-    given = {"n" if k is None else "s" + k: v for k, v in (weights or {}).items()}
+    given = _units(weights)
     if starts.select("queue").distinct().count() > MAX_QUEUES:
-        return _pack_by_table(tokens, starts, given if weights else None, sequence, window)
+        return _pack_by_table(tokens, starts, given, sequence, window)
     sums = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("_sum").alias("n")).collect()}
     order = sorted(sums)
-    plan = Schedule(tuple(sums[q] for q in order), tuple(max(1, int(given.get(q, 1) * 1_000_000 if weights else sums[q])) for q in order), window)
+    plan = Schedule(tuple(sums[q] for q in order), tuple(sums[q] if given is None else given.get(q, 1_000_000) for q in order), window)
     index = {q: i for i, q in enumerate(order)}
     shared = spark.sparkContext.broadcast((plan, index))
     placed = tokens.join(starts.select("block", "queue", "_start"), ["block", "queue"]).select("doc_id", F.col("queue").alias("_q"), (F.col("_start") + F.col("before")).alias("at"), "n", "ids")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, index = shared.value
         starts = lru_cache(maxsize=4096)(plan.round_starts)
         for b in batches:
             out = []
-            for doc, q, at, n, raw in zip(b["doc_id"], b["_q"], b["at"], b["n"], b["ids"], strict=True):
+            for doc, q, at, n, raw in _lists(b):
                 ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
-                for begin, length, where, k in plan.segments(index[q], int(at), int(n), starts):
+                for begin, length, where, k in plan.segments(index[q], at, n, starts):
                     out += _cut(doc, n, ids[begin : begin + length], begin, where, k, sequence)
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+            yield _rows(out, PIECE_ARROW)
 
-    return placed.mapInPandas(run, PIECE)
+    return placed.mapInArrow(run, PIECE)
 
 
-def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, float] | None, sequence: int, window: int) -> DataFrame:
+def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, int] | None, sequence: int, window: int) -> DataFrame:
     """What ``pack`` returns, for any number of queues: each queue's grants are rows, and runs of tokens meet them by round."""
     spark = tokens.sparkSession
     queues = starts.groupBy("queue").agg(F.sum("_sum").alias("total"))
     if given is None:
         queues = queues.withColumn("weight", F.greatest("total", F.lit(1)))
     else:
-        known = spark.createDataFrame([(q, max(1, int(v * 1_000_000))) for q, v in given.items()], "queue string, weight bigint")
+        known = spark.createDataFrame(list(given.items()), "queue string, weight bigint")
         queues = queues.join(known, "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(1_000_000)))
     queues = common.materialise(queues, "queues")
     whole = int(queues.agg(F.sum(F.col("weight").cast("decimal(38,0)")).alias("w")).first()["w"])
 
-    def grants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["queue", "k", "amount"]
+    def grants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("queue", pa.string()), ("k", pa.int64()), ("amount", pa.int64())])
         for b in batches:
             out = []
-            for q, total, w in zip(b["queue"], b["total"].tolist(), b["weight"].tolist(), strict=True):
+            for q, total, w in _lists(b):
                 sent = 0
                 while sent < total:  # on to the next round in which the queue sends anything
                     k = -(-(sent + 1) * whole // (window * w)) - 1
@@ -255,11 +277,11 @@ def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, float]
                     out.append((q, k, now - sent))
                     sent = now
                     if len(out) >= 50_000:
-                        yield pd.DataFrame(out, columns=columns)
+                        yield _rows(out, schema)
                         out = []
-            yield pd.DataFrame(out, columns=columns).astype({"k": "int64", "amount": "int64"})
+            yield _rows(out, schema)
 
-    grant = common.materialise(queues.mapInPandas(grants, "queue string, k bigint, amount bigint"), "grants")
+    grant = common.materialise(queues.mapInArrow(grants, "queue string, k bigint, amount bigint"), "grants")
     before = lambda w: F.coalesce(F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Rounds before a round: sums of ROUNDS rounds along the whole, then along the rounds of each.
     rounds = grant.groupBy("k").agg(F.sum("amount").alias("amount")).withColumn("part", F.floor(F.col("k") / ROUNDS))
@@ -269,11 +291,11 @@ def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, float]
     runs = tokens.join(starts.join(queues, "queue").select("block", "queue", "_start", "total", "weight"), ["block", "queue"])
     runs = runs.select("doc_id", "queue", (F.col("_start") + F.col("before")).alias("at"), "n", "ids", "total", "weight")
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "queue", "k", "inside", "start", "doc_tokens", "ids"]
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), *[(c, pa.int64()) for c in ("k", "inside", "start", "doc_tokens")], ("ids", pa.binary())])
         for b in batches:
             out = []
-            for doc, q, at, n, raw, w in zip(b["doc_id"].astype("Int64"), b["queue"], b["at"].tolist(), b["n"].tolist(), b["ids"], b["weight"].tolist(), strict=True):
+            for doc, q, at, n, raw, _, w in _lists(b):
                 ids, done = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4"), 0
                 while done < n:
                     k = -(-(at + done + 1) * whole // (window * w)) - 1
@@ -281,18 +303,18 @@ def _pack_by_table(tokens: DataFrame, starts: DataFrame, given: dict[str, float]
                     stop = min(n, high - at)
                     out.append((doc, q, k, at + done - low, done, n, ids[done:stop].tobytes()))
                     done = stop
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            yield _rows(out, schema)
 
-    met = runs.mapInPandas(segments, "doc_id bigint, queue string, k bigint, inside bigint, start bigint, doc_tokens bigint, ids binary").join(grant, ["queue", "k"])
+    met = runs.mapInArrow(segments, "doc_id bigint, queue string, k bigint, inside bigint, start bigint, doc_tokens bigint, ids binary").join(grant, ["queue", "k"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, n, raw, begin, where, k in zip(b["doc_id"].astype("Int64"), b["doc_tokens"].tolist(), b["ids"], b["start"].tolist(), (b["at"] + b["inside"]).tolist(), b["k"].tolist(), strict=True):
+            for doc, n, raw, begin, where, k in _lists(b):
                 out += _cut(doc, n, np.frombuffer(raw, "<u4"), begin, where, k, sequence)
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+            yield _rows(out, PIECE_ARROW)
 
-    return met.mapInPandas(cut, PIECE)
+    return met.select("doc_id", "doc_tokens", "ids", "start", (F.col("at") + F.col("inside")).alias("at"), "k").mapInArrow(cut, PIECE)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
