@@ -8,9 +8,10 @@ The weights maximise the conditional likelihood of labelled pages, whose gradien
 and expected features, by the same messages. The labelled pages come from ``labelled_pages``, a seeded generator.
 
 Defined results: null, empty or textless pages give an empty text. Unclosed and stray tags, cut-off pages, unknown tags
-and bare text are parsed as browsers would roughly do; a tag cut off at the end is dropped. ``<br>`` is white space.
+and bare text are parsed as browsers would roughly do; a tag that never ends is dropped, with the rest of the page, which
+is all its own. Quotes count only where a value begins, and one that never closes is part of the value. ``<br>`` is white space.
 The head ends at its end tag, or at the first text or tag that no head holds. Formulas in ``<math>`` and ``<xmp>`` are text.
-Nothing is dropped for length or depth. Repeated rows each get a row; other columns are not read.
+Nothing is dropped for length or depth: parsing and inference take time in proportion to the page. Repeated rows each get a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +52,8 @@ WORDS = {
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()} | {"contentinfo": "foot", "complementary": "side", "contentinfo": "foot"}
 CONTAINERS = frozenset(f"tag={t}" for t in "article aside body div footer form header main nav section".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag ends at the first ">" outside a quoted value, or with the page; no part of it can match in two ways.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
@@ -82,9 +83,10 @@ class Page:
 def parse(source: str | None) -> Page:
     parents, features, texts = [-1], [("tag=root",)], [None]
     stack: list[tuple[str, int]] = [("root", 0)]
+    depths: dict[str, list[int]] = {}  # where in the stack each tag is open
     parts: list[str] = []
     linked: list[str] = []
-    state = {"a": 0, "article": 0}
+    state = {"a": 0}
 
     def flush() -> None:
         if not parts:
@@ -106,45 +108,45 @@ def parse(source: str | None) -> Page:
         features.append(tuple(f))
         texts.append(text)
 
+    def deepest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
     def pop_to(depth: int) -> None:
+        """Close the elements from this depth on; 0 closes none."""
+        if not depth:
+            return
         flush()
         state["a"] = 0
         for tag, _ in stack[depth:]:
-            state["article"] -= tag == "article"
+            depths[tag].pop()
         del stack[depth:]
 
     at, src = 0, source or ""
     in_head = False
     while at < len(src):
         m = _TOKEN.search(src, at)
-        if m is None:
-            tail = src[at:]
-            cut = re.search(r"<[a-zA-Z/!][^<]*$", tail)
-            tail = tail[: cut.start()] if cut else tail
-            if not in_head or tail.strip():
-                parts.append(tail)
-                linked.append(tail) if state["a"] else None
-            break
-        if m.start() > at and not (in_head and src[at : m.start()].isspace()):
+        begin = m.start() if m else len(src)
+        if begin > at and not (in_head and src[at:begin].isspace()):
             in_head = False
-            piece = src[at : m.start()]
+            piece = src[at:begin]
             parts.append(piece)
             if state["a"]:
                 linked.append(piece)
+        if m is None:
+            break
         at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        if m.group(2) is None or not m.group(4):
             continue
-        tag, closing = tag.lower(), m.group(1)
+        tag, closing, attributes = m.group(2).lower(), m.group(1), m.group(3)
         if tag == "head":
             in_head = not closing
             continue
         if in_head and (tag not in HEAD and not closing or closing and tag in ("body", "html", "br")):
             in_head = False
         if (tag in RAW or in_head and tag == "noscript") and not closing:
-            inside = at
-            if not m.group(3).endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(src, at)
+            if not attributes.endswith("/"):
+                inside = at
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(src, at)
                 at = end.end() if end else len(src)
                 if tag == "xmp":
                     parts.append(f" {html.escape(src[inside : end.start() if end else len(src)])} ")
@@ -158,40 +160,28 @@ def parse(source: str | None) -> Page:
         elif tag == "a":
             state["a"] = 0 if closing else 1
         elif closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                pop_to(depth)
-        elif tag in BLOCKS and tag not in VOID and tag not in ("html",):
+            pop_to(deepest((tag,)))
+        elif tag in BLOCKS and tag not in VOID and tag != "html":
             if tag in P_CLOSERS:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if depth:
-                    pop_to(depth)
+                pop_to(deepest(("p",)))
             if tag in IMPLIED:
                 closes, stops = IMPLIED[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in stops and stack[i][0] not in closes:
+                while (depth := deepest(closes)) > deepest(stops - closes):
+                    pop_to(depth)
+                    if tag != "tr" or not depths.get("tr"):
                         break
-                    if stack[i][0] in closes:
-                        pop_to(i)
-                        if tag != "tr" or not any(t == "tr" for t, _ in stack[1:]):
-                            break
             flush()
-            if tag == "body" and any(t == "body" for t, _ in stack):
+            if tag == "body" and depths.get("body"):
                 continue
-            f = (f"tag={tag}", *_names(m.group(3)))
-            if tag in ("header", "footer", "section") and state["article"]:
-                f = (f"tag={tag}/article", *f[1:])
-            f += (f"tag={tag}<{stack[-1][0]}",)
-            state["article"] += tag == "article"
+            own = f"tag={tag}/article" if tag in ("header", "footer", "section") and depths.get("article") else f"tag={tag}"
             parents.append(stack[-1][1])
-            features.append(f)
+            features.append((own, *_names(attributes), f"tag={tag}<{stack[-1][0]}"))
             texts.append(None)
-            if not m.group(3).endswith("/"):
+            if not attributes.endswith("/"):
+                depths.setdefault(tag, []).append(len(stack))
                 stack.append((tag, len(parents) - 1))
-            else:
-                state["article"] -= tag == "article"
         elif tag == "hr":
-            pop_to(next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), len(stack)))
+            pop_to(deepest(("p",)) or len(stack))
     flush()
     return Page(parents, features, texts)
 
@@ -251,7 +241,7 @@ class TreeModel:
         return "\n".join(t for t, p in zip(page.texts, belief, strict=True) if t is not None and p >= 0.5)
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 320, seed: int = 11) -> list[tuple[str, list[str]]]:
     """(html, texts of the content blocks) of n invented pages; block texts are unique within a page."""
     r = random.Random(seed)
     count = 0
@@ -297,9 +287,12 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
             )()
 
         def body() -> str:
+            if r.random() < 0.12:
+                return f"<p>{good(1, 30)}</p>"
             parts = []
-            title = f"<h1>{good(2, 9)}</h1>"
-            parts.append(r.choice([title, title, f"<header>{title}</header>"]))
+            if r.random() < 0.9:
+                title = f"<h1>{good(2, 9)}</h1>"
+                parts.append(r.choice([title, title, f"<header>{title}</header>"]))
             for _ in range(r.randint(1, 9)):
                 parts.append(
                     r.choices(
@@ -339,6 +332,9 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
             main, low = main[:k] + low[0] + main[k:], []
         low += [clutter() for _ in range(r.randint(0, 2))]
         low.append(r.choice([f"<footer>&copy; {words(2, 20)}</footer>", f"<footer><p>{words(2, 30)}</p><ul>{links(2)}</ul></footer>", f"<div{name('foot')}>{words(2, 20)}</div>", ""]))
+        if r.random() < 0.12:
+            out.append((main, content))  # a fragment
+            continue
         out.append((f"<html><head><title>{words(1, 3)}</title></head><body>{''.join(top)}{main}{''.join(low)}</body></html>", content))
     return out
 
@@ -417,17 +413,17 @@ def extract(pages: DataFrame, model: TreeModel | None = None, key: str = "page_i
     m = model or default_model()
     node, edge = m.node, m.edge
     narrow = pages.select(F.col(key), F.col(url), F.col(source).alias("_html"))
-    kept = narrow.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         model = TreeModel(node, edge)
-        for b in batches:
-            out = b.drop(columns="_html")
-            out["text"] = [model.extract(h) for h in b["_html"]]
-            out["n_chars"] = out["text"].str.len().astype("int64")
-            yield out
 
-    return narrow.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name != "_html") + ", text string, n_chars bigint")
+        def compute(sources: list) -> list[pa.Array]:
+            found = [model.extract(h) for h in sources]
+            return [pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
+
+        return compute
+
+    return common.map_column(narrow, "_html", "text string, n_chars bigint", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
