@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrite.llm import components, decontaminate, html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, url_filter, warc_bundle
+from ferrite.llm import common, components, decontaminate, html_extract, language_id, near_duplicates, packing, pii_pseudonyms, pivot_search, quality, url_filter, warc_bundle
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = "lorem ipsum dolor " * 4000
@@ -498,3 +498,148 @@ def test_html_held_out_pages():
         right += len(got & want)
         total += len(got | want)
     assert right / total > 0.93
+
+
+# -- whole ids, whatever stands next to them
+
+BIG = 2**60 + 1
+
+
+def test_large_ids_next_to_nulls(spark, tmp_path):
+    rows = [(BIG, EN * 2, "en", "s", BIG), (None, EN, "en", None, None), (BIG + 2, EN * 2, None, "s", BIG + 4)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    want = {None, BIG, BIG + 2}
+    model = language_id.fit(spark.createDataFrame([(1, EN, "en"), (2, FR, "fr")], "doc_id bigint, text string, lang string"))
+    assert {r.doc_id for r in language_id.predict(docs, model).collect()} == want
+    good = quality.train([])
+    assert {r.doc_id for r in quality.score(docs, good).collect()} == want
+    assert {(r.doc_id, r.n_chars) for r in quality.keep_good(docs, good).collect()} == {(r[0], r[4]) for r in rows}
+    assert {r.doc_id for r in packing.pack(docs).collect()} == want
+    groups = {r.doc_id: r.component_id for r in near_duplicates.group(docs).collect()}
+    assert groups == {None: None, BIG: BIG, BIG + 2: BIG}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"))
+    read = {(r.page_id, r.refers_to) for r in warc_bundle.read(warc_bundle.write(pages, f"file://{tmp_path}/big")).collect()}
+    assert read == {(None, None), (BIG, BIG + 2), (BIG + 2, None)}
+    assert {r.page_id for r in html_extract.extract(pages).collect()} == want
+
+
+def test_bounded_sample_takes_all_below_its_bound(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") < 700, "few").otherwise("many").alias("s")).unionByName(spark.range(10).select(F.lit(5).cast("bigint").alias("k"), F.lit("few").alias("s")))
+    got = common.bounded_sample(df, "k", "s", 1000, {"twice": F.col("k") * 2})
+    few, many = [r for r in got if r.s == "few"], [r for r in got if r.s == "many"]
+    assert sorted(r["_key"] for r in few) == list(range(700)) and len(many) == 1000 == len({r["_key"] for r in many})
+    assert all(r.twice == 2 * r["_key"] for r in got) and common.bounded_sample(df.limit(0), "k", "s", 9, {}) == []
+
+
+def test_language_learns_from_all_parts_of_texts(spark):
+    rows = [(i, "1 " * 2000 + (EN if i % 2 else FR) * 60, "en" if i % 2 else "fr") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.classify("the cat and the dog ran to the house")[0] == "en" and model.classify("le chien court vers la maison du roi")[0] == "fr"
+    assert [model.classify(t)[0] for t in ("½ ² Ⅷ", "①②", "12", "_")] == ["und"] * 4
+
+
+def test_url_rules_of_any_length(spark):
+    path = "/" + "a" * 9000
+    pages = spark.createDataFrame([(1, "http://x.com" + path + "/more?q"), (2, "http://x.com/a")], "page_id bigint, url string")
+    rules = spark.createDataFrame([("x.com", path, "block"), ("com", "/", "allow")], "host string, path string, verdict string")
+    assert {(r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()} == {(1, "x.com" + path, "block"), (2, "com/", "allow")}
+
+
+# -- a plain deficit round-robin, token by token of credit
+
+
+def test_packing_equals_simulated_rounds(spark):
+    from fractions import Fraction
+
+    rows = [(i, f"text number {i} " * (i % 9), f"q{i % 4}" if i % 4 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1)
+    weights = {"q1": 0.25, "q2": 3, None: 1.5}
+    got = packing.pack(docs, weights=weights, sequence=32, window=100).collect()
+    lengths = {r.doc_id: r.doc_tokens for r in got}
+    queues = {}
+    for i, _, s in rows:
+        queues.setdefault("n" if s is None else "s" + s, []).extend((i, k) for k in range(lengths[i]))
+    weight = {q: Fraction(weights.get(None if q == "n" else q[1:], 1)) for q in queues}
+    quantum = {q: 100 * w / sum(weight.values()) for q, w in weight.items()}
+    deficit, sent, stream = dict.fromkeys(queues, Fraction(0)), dict.fromkeys(queues, 0), []
+    while any(sent[q] < len(v) for q, v in queues.items()):
+        for q in sorted(queues):
+            deficit[q] += quantum[q]
+            n = int(deficit[q])
+            stream += queues[q][sent[q] : sent[q] + n]
+            sent[q], deficit[q] = sent[q] + n, deficit[q] - n
+    seen = {(r.sequence_id * 32 + r.offset + k): (r.doc_id, r.start + k) for r in got for k in range(r.length)}
+    assert [seen[i] for i in range(len(stream))] == stream and len(seen) == len(stream)
+    with pytest.raises(ValueError):
+        packing.pack(docs, weights={"q1": 0})
+
+
+# -- HTML that is out of order
+
+
+def test_html_quotes_and_short_articles():
+    model = html_extract.default_model()
+    page = "<html><body><article><p><a href=/it's>A link</a> begins the first sentence here.</p><p title=it's>Don't drop the second one either.</p></article><footer>Foot</footer></body></html>"
+    assert model.extract(page) == "A link begins the first sentence here.\nDon't drop the second one either."
+    assert model.extract("<html><body><article><p>One short paragraph</p></article></body></html>") == "One short paragraph"
+    assert model.extract("<article><p>One short paragraph.</p></article>") == "One short paragraph."
+    assert model.extract("<article><p>Whole text here.</p><p>More of it") == "Whole text here.\nMore of it"
+
+
+def test_html_takes_linear_time():
+    import time
+
+    begin = time.time()
+    model = html_extract.default_model()
+    body = "<article><p>Some sentence of the article itself.</p></article>"
+    for odd in ("<b " * 350_000, "<div>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, '<p title="x>a</p>' * 50_000, "<textarea></textarea " * 50_000, "<!-" * 300_000):
+        model.extract(body + odd)
+    assert "Some sentence of the article itself." in model.extract(body + "<b " * 350_000)
+    assert time.time() - begin < 60
+
+
+def plain_articles(source):
+    """What stands in the article elements of a page, block by block: a parser of its own, no model."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.now, self.inside, self.hidden = [], [], 0, 0
+
+        def border(self):
+            text = " ".join("".join(self.now).split())
+            self.now = []
+            if text:
+                self.blocks.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.hidden += tag in ("script", "style")
+            if tag == "br":
+                self.now.append(" ")
+            elif tag in html_extract.BLOCKS:
+                self.border()
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCKS:
+                self.border()
+            self.inside -= tag == "article"
+            self.hidden -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.inside > 0 and not self.hidden:
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    reader.border()
+    return "\n".join(reader.blocks)
+
+
+def test_html_equals_the_article_elements_of_the_tables(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = html_extract.query(spark, sf).collect()
+    assert {r.page_id: r.text for r in rows} == {k: plain_articles(v) for k, v in pages.items()}
+    assert all(r.n_chars == len(r.text) for r in rows)
