@@ -318,7 +318,7 @@ def test_near_duplicates_in_chunks(spark):
         for _ in range(rng.choice([1, 2, 3, 6])):
             w[rng.randrange(80)] = f"u{rng.randint(0, 10_000)}"
         rows.append((k, " ".join(w)))
-    chunk, near_duplicates.CHUNK = near_duplicates.CHUNK, 32
+    chunk, near_duplicates.CHUNK = near_duplicates.CHUNK, 8
     try:
         got = sorted(map(tuple, near_duplicates.group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
     finally:
@@ -335,6 +335,45 @@ def test_near_duplicates_of_rows_that_occur_twice(spark):
     assert got == sorted(brute_groups(rows) * 2)
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, c), (9, c), (11, "x y")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.group(docs).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (9, 1), (11, 11)}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_cells_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    base = [rng.integers(0, 2**62, n).astype(np.uint64) for n in (1, 7, 40, 120)]
+    sets = []
+    for _ in range(90):
+        x = base[rng.integers(4)].copy()
+        for _ in range(rng.integers(0, 1 + len(x) // 6)):
+            x[rng.integers(len(x))] = rng.integers(0, 30)
+        sets.append(np.unique(x))
+    ids = rng.permutation(90).tolist()
+    labels = [i if i % 3 else 0 for i in ids]
+    links = near_duplicates.cell_links(ids, labels, sets, percent)
+    want = [(ids[x], ids[y]) for x in range(90) for y in range(x) if 100 * len(set(sets[x]) & set(sets[y])) >= percent * len(set(sets[x]) | set(sets[y]))]
+    known = [(i, 0) for i, k in zip(ids, labels, strict=True) if k == 0]
+
+    def groups(pairs):
+        root = list(range(90))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert set(links) <= {*want, *((b, a) for a, b in want)} and groups(known + links) == groups(known + want)
+
+
+def test_bands_follow_from_the_threshold():
+    for percent in (50, 60, 75, 80, 85, 90, 99, 100):
+        bands, rows = near_duplicates.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_duplicates.MISS
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = [tuple(r) for r in near_duplicates.group(odd).collect()]
     assert len(got) == len(ODD)
@@ -347,9 +386,9 @@ def test_super_minhash_estimates():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
     a, b = x[:300], x[100:]
-    same = np.mean([np.mean(near_duplicates.super_minhash(a + np.uint64(k)) == near_duplicates.super_minhash(b + np.uint64(k))) for k in range(60)])
+    same = np.mean([np.mean(near_duplicates.super_minhash(a + np.uint64(k), 64) == near_duplicates.super_minhash(b + np.uint64(k), 64)) for k in range(60)])
     assert abs(same - 0.5) < 0.03
-    small = near_duplicates.super_minhash(x[:1])
+    small = near_duplicates.super_minhash(x[:1], 64)
     assert sorted(int(v) >> 32 for v in small) == list(range(64))  # one element visits each slot once
 
 
