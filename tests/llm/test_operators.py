@@ -439,15 +439,30 @@ def test_top_k(spark):
 
 
 def test_pivots_eliminate():
-    rng = np.random.default_rng(0)
-    centres = rng.normal(size=(10, 16)) * 2000
-    m = (centres[rng.integers(0, 10, 4000)] + rng.normal(size=(4000, 16)) * 20).astype(np.int64)
-    pivots = m[:40].astype(np.float64)
-    ids, norm2, dist = np.arange(4000), (m**2).sum(1), pivot_search._pivot_distances(m, pivots)
-    q = m[5]
-    got, score, seen = pivot_search.block_top_k(q, 5, int(q @ q), dist[5], ids, m, norm2, dist, 5)
-    order = np.lexsort((ids, -(m @ q)))
-    assert got.tolist() == [i for i in order if i != 5][:5] and seen < 4000
+    rng = np.random.default_rng(4)
+    spread = rng.normal(size=(4000, 64))
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    clusters = np.repeat(rng.normal(size=(40, 64)), 100, 0) + 0.1 * rng.normal(size=(4000, 64))
+    assert pivot_search.evaluated_share(spread, 200, 56) < 0.1
+    assert pivot_search.evaluated_share(clusters, 200, 56) < 0.1
+
+
+def test_top_k_of_large_components(spark):
+    import math
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(700)]
+    rows += [(700, [5e7, 1.0, 0.0, 0.0]), (701, [3e38, 1.0, 2.0, 3.0]), (702, [-3e38, 0.0, 0.0, 1.0]), (703, [1e200, 0.0, 0.0, 0.0]), (704, [1e308, 0.0, 0.0, 0.0]), (705, [1.0]), (706, None), (707, [None, 1.0]), (708, [float("nan")])]
+    asked = [0, 50, 100, 650, 700]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 50 == 0, pivots=3).where(F.col("query_id").isin(asked)).collect()))
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(256 * x) for x in v)]
+    want = []
+    for i, q in fine:
+        if i in asked:
+            score = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -(2**63)), 2**63 - 1), j) for j, v in fine if j != i)  # noqa: B905
+            want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(score[:5])]
+    assert got == sorted(want)
 
 
 # -- personal data
