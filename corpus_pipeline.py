@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame; all but the
 last return the columns of documents. ``run`` writes each stage's result in the shared folder and reads it back, so a
 lost executor costs at most a part of one stage.
+
+Defined results: rows with a null id are scored, pseudonymised and packed, but are no near duplicate of any and hold no
+benchmark item. A null or empty text has the score of no features, no shingles and no personal data, and is packed as
+its end mark alone. Of rows that share an id one stays; of near duplicates (80 % or more of shingles) that of the least
+id. Other columns pass through unread, whatever their names. Without labels all documents are kept; without a benchmark
+none is contaminated; without documents there are no pieces.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_duplicates.keep_one(docs)
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_duplicates.keep_one(docs, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    out = pii_pseudonyms.pseudonymise(docs, pii_pseudonyms.KEY)
+    out = pii_pseudonyms.pseudonymise(docs, pii_pseudonyms.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
