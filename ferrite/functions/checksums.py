@@ -74,11 +74,5 @@ def fnv1a_hex(text: Column) -> Column:
 
 def bucket(n: Column) -> Column:
     """Power-of-two label of a count: none, 1, 2-3, 4-7 and so on."""
-    low = F.expr("1L").bitwiseAND(1)
-    low = F.call_function("shiftleft", low, F.length(F.bin(n)) - 1)
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n)) - 1)
     return F.when(n <= 0, "none").when(n == 1, "1").otherwise(F.concat(low.cast("string"), F.lit("-"), (low * 2 - 1).cast("string")))
-
-
-def duck_luhn(x: str) -> str:
-    """The same check as DuckDB SQL over digits only."""
-    return f"(list_sum(list_transform(range(length({x})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({x}, length({x}) - CAST(i AS INTEGER), 1) AS INTEGER) ELSE (CAST(substr({x}, length({x}) - CAST(i AS INTEGER), 1) AS INTEGER) * 2) // 10 + (CAST(substr({x}, length({x}) - CAST(i AS INTEGER), 1) AS INTEGER) * 2) % 10 END)) % 10 = 0)"

@@ -43,7 +43,14 @@ def best_threshold(curves: DataFrame, *by: str) -> DataFrame:
 
 
 #: What the pattern layer owns, and what may be a person's name.
-OWNED = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b|\b[A-Z]{5}[0-9]{4}[A-Z]\b|\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b|\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b|\b[6-9][0-9]{9}\b|\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b"
+OWNED = (
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b",
+    r"\b[A-Z]{5}\d{4}[A-Z]\b",
+    r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b",
+    r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b",
+    r"\b[6-9]\d{9}\b",
+    r"\b\d{4}\s?\d{4}\s?\d{4}\b",
+)
 NAMED = r"\b[A-Z][a-z]{1,15}\s+[A-Z][a-z]{1,15}\b"
 #: The floor of each class of the model layer; above 1 never admits.
 FLOORS = {"PERSON": 0.99, "EMAIL": 1.01, "PHONE": 1.01, "LOCATION": 1.01, "ORG": 1.01, "DATE": 1.01, "PASSPORT": 1.01}
@@ -55,7 +62,7 @@ def _java(pattern: str) -> str:
 
 def pattern_covers(text: Column) -> Column:
     """Whether the pattern layer finds all that the model layer could add: an owned format and no likely name."""
-    return text.rlike(_java(OWNED)) & ~text.rlike(_java(NAMED))
+    return text.rlike(_java("|".join(OWNED))) & ~text.rlike(_java(NAMED))
 
 
 def reduce_input(texts: DataFrame, text: str = "text", clip: int = 200) -> DataFrame:
@@ -92,3 +99,104 @@ def greedy_claims(truth: DataFrame, found: DataFrame, key: str = "cls") -> DataF
         return pd.DataFrame({"cls": [g["cls"].iloc[0]], "tp": [tp], "fp": [n - tp], "fn": [len(wanted) - tp]})
 
     return side(truth, "t").unionByName(side(found, "f")).groupBy("cls").applyInPandas(run, "cls string, tp long, fp long, fn long")
+
+
+def score_nodes(truth: DataFrame, hits: DataFrame, literal: str = "[PASSWORD]") -> DataFrame:
+    """(cls, channel, tp, fp, fn): a truth (page, node_id, cls, channel) is found by a hit of its class on its node.
+
+    A hit (page, node_id, cls, text) on a node without a truth of its class is false, but for a password shown as such;
+    false hits have no channel.
+    """
+    on = ["page", "node_id", "cls"]
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    seen = truth.join(hits.select(*on).distinct().withColumn("_hit", F.lit(True)), on, "left")
+    found = seen.select("cls", "channel", F.when(F.col("_hit"), one).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(F.col("_hit"), zero).otherwise(one).alias("fn"))
+    false = hits.where(~((F.col("cls") == "PASSWORD") & F.coalesce(F.col("text") == literal, F.lit(False)))).join(truth.select(*on).distinct(), on, "left_anti")
+    rows = found.unionByName(false.select("cls", F.lit(None).cast("string").alias("channel"), zero.alias("tp"), one.alias("fp"), zero.alias("fn")))
+    return rows.groupBy("cls", "channel").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def by_channel(scored: DataFrame) -> DataFrame:
+    return scored.where("channel IS NOT NULL").groupBy("channel").agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"))
+
+
+def missed_by_class(scored: DataFrame) -> DataFrame:
+    """(cls, fn) of classes with a miss; a report sorts them."""
+    return scored.groupBy("cls").agg(F.sum("fn").alias("fn")).where("fn > 0")
+
+
+def macro(scored: DataFrame) -> DataFrame:
+    """(n_classes, macro_f1): the plain mean of the classes' f1."""
+    per = rates(scored.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    exact = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return per.agg(F.count("*").alias("n_classes"), F.round(F.avg(exact), 6).alias("macro_f1"))
+
+
+def _contain(a: Column, b: Column) -> Column:
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+
+
+def plain(value: Column) -> Column:
+    """Letters and digits in lower case: what loose containment compares."""
+    return F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", "")
+
+
+def any_match(truth: DataFrame, base: DataFrame, fused: DataFrame, *on: str) -> DataFrame:
+    """(cls, gt, base, fused): truths (on, value) that any finding with the same keys contains or is contained in, by layer.
+
+    ``on`` includes cls; a finer key, such as the page, keeps what meets small. Each truth counts once.
+    """
+    t = truth.select(*on, plain(F.col("value")).alias("v")).groupBy(*on, "v").agg(F.count("*").alias("n"))
+
+    def found(dets: DataFrame, name: str) -> DataFrame:
+        d = dets.select(*on, plain(F.col("value")).alias("d")).distinct()
+        return t.alias("t").join(d.alias("d"), (F.expr(" AND ".join(f"t.{c} = d.{c}" for c in on))) & _contain(F.col("t.v"), F.col("d.d")), "left_semi").withColumn(name, F.lit(1))
+
+    keys = [*on, "v", "n"]
+    rows = t.join(found(base, "_b"), keys, "left").join(found(fused, "_f"), keys, "left")
+    return rows.groupBy("cls").agg(F.sum("n").alias("gt"), F.coalesce(F.sum(F.when(F.col("_b") == 1, F.col("n"))), F.lit(0)).alias("base"), F.coalesce(F.sum(F.when(F.col("_f") == 1, F.col("n"))), F.lit(0)).alias("fused"))
+
+
+def cascade(truth: DataFrame, base: DataFrame, model: DataFrame, floor: float = 0.6) -> DataFrame:
+    """(layer, tp, fp, fn, precision, recall, f1) of base, model alone, and base with the model's findings of ``floor`` or more.
+
+    truth and findings: (cls, ord, value), the model's with score. Within a class truths claim findings one to one.
+    """
+    strong = base.select("cls", "ord", "value").unionByName(model.where(F.col("score") >= floor).select("cls", (F.col("ord") + (1 << 40)).alias("ord"), "value"))
+    each = {"base": base, "model": model, "cascade": strong}
+    mark = lambda df, layer: df.select(F.concat_ws("|", F.lit(layer), "cls").alias("key"), F.col("ord").cast("long").alias("ord"), "value")
+    truths = findings = None
+    for layer, df in each.items():
+        truths = mark(truth, layer) if truths is None else truths.unionByName(mark(truth, layer))
+        findings = mark(df, layer) if findings is None else findings.unionByName(mark(df, layer))
+    claims = greedy_claims(truths, findings, "key").groupBy(F.substring_index("cls", "|", 1).alias("layer")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return rates(claims)
+
+
+def coordinate_sweep(counts: DataFrame, never: float = 1.01) -> list[tuple[str, float, float]]:
+    """(cls, threshold, f1 then) from (cls, threshold, tp, fp, fn): one class after the other takes its best threshold.
+
+    Counts of classes add up, so a policy's score is a sum over as many rows as there are classes. Classes in order; one
+    not yet chosen stands at ``never``; of equal scores the first threshold wins. A report: classes times grid rows.
+    """
+    table: dict[str, dict[float, tuple]] = {}
+    for r in counts.select("cls", "threshold", "tp", "fp", "fn").orderBy("cls", "threshold").collect():
+        table.setdefault(r["cls"], {})[r["threshold"]] = (r["tp"], r["fp"], r["fn"])
+    chosen, out = {c: row[never] for c, row in table.items()}, []
+    for c, row in table.items():
+        best = (-1.0, never)
+        for t, counted in row.items():
+            tp, fp, fn = map(sum, zip(*(chosen | {c: counted}).values(), strict=True))
+            f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+            best = max(best, (f1, t), key=lambda x: x[0])
+        chosen[c] = row[best[1]]
+        out.append((c, best[1], best[0]))
+    return out
+
+
+def determinism(a: DataFrame, b: DataFrame, *span: str) -> DataFrame:
+    """One row (n_a, n_b, identical, shared, distinct_spans): whether two runs found the same spans, as lists and as sets."""
+    both = a.select(*span, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*span, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    per = both.groupBy(*span).agg(F.sum("_a").alias("na"), F.sum("_b").alias("nb"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(total("na").alias("n_a"), total("nb").alias("n_b"), (F.count_if(F.col("na") != F.col("nb")) == 0).alias("identical"), F.count_if((F.col("na") > 0) & (F.col("nb") > 0)).alias("shared"), F.count("*").alias("distinct_spans"))

@@ -12,14 +12,14 @@ SERVER_VERBS = r"(?i)\b(submit|send\s+(?:money|payment|message)|pay|delete|remov
 IDLE = ("none", "ask_user", "wait_for")
 ACTIONS = ("click", "fill", "focus", "select", "scroll", "hover", "navigate", "extract", "wait_for", "ask_user", "none")
 FILLABLE = ("fill", "select")
-PLACEHOLDER = r"^\[[A-Z_]+_[0-9]+\]$|^\[PASSWORD\]$|^\[[A-Z_]+_[0-9A-F]{1,2}_[0-9a-f]{8}\]$"
+PLACEHOLDER = r"^\[[A-Z_]+_\d+\]$|^\[PASSWORD\]$|^\[[A-Z_]+_[0-9A-F]{1,2}_[0-9a-f]{8}\]$"
 INJECTION = (
     ("instruction_override", r"(?i)\b(ignore|disregard|forget)\b[^.\n]{0,40}\b(previous|prior|above|earlier|all)\b[^.\n]{0,20}\b(instruction|prompt|rule|direction|message)s?\b"),
     ("role_reassignment", r"(?i)\byou\s+are\s+now\b|\bnew\s+(system\s+)?(prompt|instruction)s?\s*:|\bact\s+as\s+(if\s+you\s+are\s+)?(a\s+)?(different|new|unrestricted)\b"),
     ("system_prompt_leak", r"(?i)\b(reveal|print|repeat|show|output)\b[^.\n]{0,30}\b(your\s+)?(system\s+prompt|initial\s+instructions|hidden\s+instructions)\b"),
     ("exfiltration_instruction", r"(?i)\b(send|post|upload|transmit|forward|email)\b[^.\n]{0,40}\b(to\s+)?(https?://|attacker|exfil|webhook|my\s+server)\b"),
     ("credential_lure", r"(?i)\b(verify|confirm|re-enter|revalidate)\b[^.\n]{0,30}\b(password|otp|one[- ]time|2fa|pin|security\s+code|cvv)\b"),
-    ("mark_injection", r"(?i)\[\s*(MARK|mark)\s*#?\s*[0-9]+\s*\]|\btarget\s+mark\s*#?\s*[0-9]+"),
+    ("mark_injection", r"(?i)\[\s*(MARK|mark)\s*#?\s*\d+\s*\]|\btarget\s+mark\s*#?\s*\d+"),
 )
 
 
@@ -53,15 +53,15 @@ def page_findings(texts: DataFrame, page: str, order: str, text: str = "text", l
 def plan_problems(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(plan_id, step_idx, problem) for every broken rule.
 
-    steps: (plan_id, step_idx, action, mark, value, reason); nodes: (plan_id, mark, label, sensitive). A plan whose page
-    has no marks is not held to them.
+    steps: (plan_id, step_idx, action, mark, value, reason) and, where a plan has them, text, url, name and selector; nodes:
+    (plan_id, mark, label, sensitive). A plan whose page has no marks is not held to them.
     """
     last = F.max("step_idx").over(Window.partitionBy("plan_id"))
     known = nodes.select("plan_id", "mark", "label", "sensitive").withColumn("known", F.lit(True))
     some = nodes.select("plan_id").distinct().withColumn("has_marks", F.lit(True))
     rows = steps.withColumn("last", last).join(known, ["plan_id", "mark"], "left").join(some, "plan_id", "left")
     acting = ~F.col("action").isin("ask_user", "none")
-    words = F.concat_ws(" ", "action", "value", "reason")
+    words = F.concat_ws(" ", "action", *[c for c in ("value", "text", "reason", "url", "name", "selector") if c in steps.columns])
     say = lambda when, what: F.when(when, F.lit(what))
     problems = F.array_compact(
         F.array(

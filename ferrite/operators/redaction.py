@@ -58,7 +58,6 @@ def gate(items: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
 KEYS = r"\b(?:sk|pk|rk|hf|ghp|glpat|xoxb|api)[-_][A-Za-z0-9_-]{12,}\b"
 JWTS = r"\beyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\b"
 NAMED = r"(?i)\b(api[_-]?key|apikey|secret|password|passwd|token|authorization|bearer)\b(\s*[:=]\s*)(?:\"[^\s\",}]+\"|[^\s\",}]+)"
-LONGER = r"\b[A-Za-z0-9_-]{65,}\b"
 LONG = r"\b[A-Za-z0-9_-]{40,}\b"
 
 
