@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import checksums, small
 from ..operators import elements, evaluate, events, frames, policy, redaction, reports, rules, spans
 from ..sources import html, wire
-from . import fixtures, sql
+from . import agents, fixtures, sql
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = sql.ORACLE
+QUERIES: dict = dict(agents.QUERIES)
+ORACLE: dict[str, str] = sql.ORACLE | agents.ORACLE
 SESSION = "session-0001"
 
 
@@ -127,10 +127,8 @@ def bridge_spans(spark, d):
 @query
 def l2_input_reduction(spark, d):
     lines = _t(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") > 2)
-    raw = lines.agg(F.count("*").alias("n_raw"))
-    clipped = lines.select(F.substring("text", 1, 200).alias("text")).dropDuplicates(["text"])
-    kept = clipped.agg(F.count("*").alias("n_unique"), F.count_if(~evaluate.pattern_covers(F.col("text"))).alias("n_kept"))
-    return raw.join(kept)  # one row each
+    clipped = lines.groupBy(F.substring("text", 1, 200).alias("text")).agg(F.count("*").alias("n"))
+    return clipped.agg(F.sum("n").alias("n_raw"), F.count("*").alias("n_unique"), F.count_if(~evaluate.pattern_covers(F.col("text"))).alias("n_kept"))
 
 
 @query
@@ -252,8 +250,10 @@ def box_iou(spark, d):
 
 @query
 def fuse_layers(spark, d):
-    rows = spark.createDataFrame(fixtures.LAYERS, "doc_id bigint, rule_ord int, cls string, source string, score double, start int, `end` int")
-    return spans.fuse_same_span(rows, "doc_id").select("doc_id", "cls", "source", "score", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    rows = spark.createDataFrame(fixtures.LAYERS, "doc_id bigint, ord int, cls string, source string, score double, start int, `end` int, x double")
+    box = F.when(F.col("x").isNotNull(), F.struct("x", F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h")))
+    fused = spans.fuse_rows(rows.withColumns({"text": F.col("ord").cast("string"), "box": box}), "ord", "doc_id")
+    return fused.select("doc_id", "cls", "source", "score", "text", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "box.x")
 
 
 @query
@@ -272,8 +272,7 @@ def label_similarity(spark, d):
 @query
 def best_label_match(spark, d):
     p = _t(spark, d, "part").select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("label"))
-    wanted = p.where("node_id % 10 = 0")  # the controls that are looked for; all live ones are candidates
-    return frames.best_label(wanted, p, "page")
+    return frames.best_label(p, p, "page")
 
 
 @query
@@ -308,7 +307,7 @@ def dirty_tiles(spark, d):
 
 @query
 def coalesce_tiles(spark, d):
-    return frames.coalesce_tiles(frames.dirty_tiles(_pairs(spark, d), "seq").where("change > 0.5"), "seq")
+    return frames.coalesce_tiles(frames.dirty_tiles(_pairs(spark, d), "seq"), "seq")
 
 
 def _events(spark, d) -> DataFrame:
@@ -379,8 +378,10 @@ def log_ring(spark, d):
 
 @query
 def latency_percentiles(spark, d):
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return _events(spark, d).groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    e = _events(spark, d)
+    at = lambda p, name: events.percentile_nearest(e, "value", p, "event_type").withColumnRenamed("value", name)
+    whole = e.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    return whole.join(at(0.5, "p50"), "event_type").join(at(0.95, "p95"), "event_type")
 
 
 @query
@@ -403,13 +404,12 @@ def page_elements(spark, d):
 
 @query
 def page_outline(spark, d):
-    rows = html.prune(html.outline(html.elements(_t(spark, d, "pages"), "page_id"), "page_id"), "page_id")
-    return rows.select("page_id", "path", "tag", "text", elements.role(F.col("tag"), F.col("type"), F.coalesce("role", F.lit("")), F.col("href"), F.col("multiple")).alias("role"))
+    return html.outline(html.elements(_t(spark, d, "pages"), "page_id")).select("page_id", "path", "tag", "text", "label", F.col("of_role").alias("role"))
 
 
 @query
 def collapse_repeats(spark, d):
-    return html.collapse_repeats(html.elements(_t(spark, d, "pages"), "page_id"), "page_id").select("page_id", "path", "tag", "repeats")
+    return html.collapse_repeats(html.elements(_t(spark, d, "pages"), "page_id")).select("page_id", "path", "tag", "repeats")
 
 
 @query
@@ -433,8 +433,8 @@ def capped_sizes(spark, d):
 def device_tiers(spark, d):
     ram, vram, threads = F.col("p_size") % 9, F.col("p_partkey") * 97 % 3000, F.col("p_partkey") % 13 + 1
     gpu, isolated = F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 2 == 0
-    tier = small.device_tier(ram, vram, threads, gpu)
-    return _t(spark, d, "part").select("p_partkey", tier.alias("tier"), small.token_batch(vram, threads, gpu, isolated, tier).alias("batch"))
+    plan = small.device_plan(ram, vram, threads, gpu, isolated)
+    return _t(spark, d, "part").select("p_partkey", plan.alias("p")).select("p_partkey", "p.tier", "p.batch", "p.can_l2", "p.can_l3", "p.can_audit", "p.bottleneck")
 
 
 @query

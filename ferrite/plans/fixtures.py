@@ -41,23 +41,38 @@ ELEMENTS = [
     _element(13, name="cardNumber"), _element(14, id="company"), _element(15, name="panNo"), _element(16, type="email"), _element(17, type="tel"), _element(18, "div", [("token", "true")]),
     _element(19, "div", [("x", "a@b.example.com"), ("user-email", "a@b.example.com")]), _element(20, "div", [("customer", "Ann Lee")]), _element(21, "div", [("customer", "Ann")]), _element(22, placeholder="Shipping window"), _element(23, aria_label="Date of birth"),
 ]
-#: What the semantic layer says of ELEMENTS: ord, cls, is_password.
-ELEMENT_CLASSES = [
-    (1, "FACE", False), (2, None, False), (3, "OPAQUE_REGION", False), (4, None, False), (5, "OPAQUE_REGION", False), (6, None, False), (7, "PASSWORD", True), (8, "PASSWORD", True), (9, "PASSWORD", True),
-    (10, "CREDIT_CARD", False), (11, "ADDRESS", False), (12, "PERSON", False), (13, "CREDIT_CARD", False), (14, None, False), (15, "PAN", False), (16, "EMAIL", False), (17, "PHONE", False), (18, "PASSWORD", True),
-    (19, "EMAIL", False), (20, "PERSON", False), (21, None, False), (22, None, False), (23, "DOB", False),
-]
 STREAMS = [
     (1, 'data: {"delta": "{\\"a\\":"}\n\ndata: {"delta": " 1}"}\n: beat\ndata: [DONE]\n'), (2, 'data: {"delta": "{\\"a\\":"}\ndata: {"delta": "{\\"b\\": 2}"}\n'),
     (3, 'data: {"delta": "{\\"a\\":"}\n'), (4, "data: nonsense\nevent: x\n"), (5, 'data: {"delta": "[1,"}\r\ndata: {"delta": "2]"}\r\n'),
 ]
-#: What the streams come to: id, ok, plan.
-STREAM_PLANS = [(1, True, '{"a": 1}'), (2, True, '{"b": 2}'), (3, False, '{"a":'), (4, False, ""), (5, True, "[1,2]")]
-#: doc_id, rule_ord, cls, source, score, start, end
+#: doc_id, ord, cls, source, score, start, end, x (boxes are ten by ten, at y = 0; null for none)
 LAYERS = [
-    (1, 3, "EMAIL", "L1", 0.96, 0, 10), (1, 90, "EMAIL", "L2", 0.99, 0, 10), (1, 91, "PERSON", "L2", 0.8, 0, 10), (2, 0, "DOB", "L0", 0.99, 4, 9), (2, 13, "DOB", "L1", 0.78, 4, 9), (2, 13, "DOB", "L1", 0.78, 5, 9),
+    (1, 1, "EMAIL", "L1", 0.96, 0, 10, None), (1, 2, "EMAIL", "L2", 0.99, 0, 10, None), (1, 3, "PERSON", "L2", 0.8, 0, 10, None),
+    (2, 1, "DOB", "L1", 0.78, 4, 9, None), (2, 2, "DOB", "L0", 0.99, 4, 12, None), (2, 3, "DOB", "L1", 1.0, 5, 9, None),
+    (3, 1, "FACE", "L3", 0.5, 0, 0, 0.0), (3, 2, "FACE", "L2", 0.4, 0, 0, 11.0), (3, 3, "FACE", "L0", 0.9, 0, 0, 22.0), (3, 4, "FACE", "L1", 0.95, 0, 0, 100.0), (3, 5, "FACE", "L0", 0.3, 0, 0, None),
 ]
 #: doc_id, ord, entity, score, start, end
 TOKENS = [
-    (1, 0, "B-PERSON", 0.9, 0, 3), (1, 1, "I-PERSON", 0.8, 3, 6), (1, 2, "O", 0.9, 7, 9), (1, 3, "B-PERSON", 0.95, 10, 14), (1, 4, "I-LOCATION", 0.7, 15, 19), (1, 5, "I-LOCATION", 0.6, 20, 25), (1, 6, "I-LOCATION", 0.9, 30, 33),
+    (1, 0, "B-PERSON", 0.9, 0, 3), (1, 1, "B-PERSON", 0.8, 3, 6), (1, 2, "O", 0.9, 6, 6), (1, 3, "I-PERSON", 0.95, 6, 14), (1, 4, "I-LOCATION", 0.7, 15, 19), (1, 5, "I-LOCATION", 0.6, 20, 25), (1, 6, "I-LOCATION", 0.9, 24, 33),
+    (2, 0, "B-URL", 0.9, 0, 9), (2, 1, "PERSON", 0.9, 10, 12), (2, 2, "I-PERSON", 0.5, None, 15), (2, 3, "O", 1.0, 16, 17), (2, 4, "B-", 0.9, 17, 18), (2, 5, "I-AGE", 0.9, None, None),
+]
+#: page, ord, place, closed, of_role, name, value_class, actions, mark, n_children
+NODES_SHOWN = [
+    (1, 0, "0", 9, "body", "", "public", "", None, 3), (1, 1, "0/0", 1, "heading", "Sign in", "public", "", None, 0), (1, 2, "0/1", 7, "form", "", "public", "", None, 2),
+    (1, 3, "0/1/0", 3, "textbox", "[EMAIL_AB_1]", "masked", "fill,focus,click", 1, 0), (1, 4, "0/1/1", 4, "textbox", "Password", "sensitive", "fill,focus,click", 2, 0), (1, 5, "0/1/12", 5, "link", "Far down", "public", "click", 3, 0),
+    (1, 6, "0/2", 8, "generic", "", "public", "", None, 0), (2, 0, "0", 1, "button", "x" * 90, "public", "click,hover", 1, 0), (2, 1, "0/1/1/1/1/1/1/1", 0, "link", "Deep", "public", "click", 2, 0),
+]
+#: plan_id, confidence, exhausted, parse_error
+PLANS = [(1, 0.9, False, None), (2, 0.54, False, None), (3, 0.55, True, None), (4, 0.2, True, None), (5, None, False, "destructive verb in step 1"), (6, None, True, "unexpected end of data")]
+#: page, node_id, cls, channel
+TRUTH = [(1, "a", "EMAIL", "dom"), (1, "b", "PHONE", "attr"), (1, "c", "PASSWORD", "dom"), (2, "a", "EMAIL", "canvas"), (2, "b", "PAN", "dom"), (2, "b", "EMAIL", "dom")]
+#: page, node_id, cls, text
+NODE_HITS = [(1, "a", "EMAIL", "a@b.c"), (1, "a", "EMAIL", "d@e.f"), (1, "b", "PAN", "x"), (1, "c", "PASSWORD", "[PASSWORD]"), (1, "d", "PASSWORD", "[PASSWORD]"), (1, "d", "PASSWORD", "hunter2"), (2, "b", "EMAIL", "q"), (2, None, "MONEY", "$ 5")]
+#: model, parsed, used_mark, invented, truncated, ms, usd
+MODEL_TURNS = [("a", True, True, 0, False, 100.0, 0.1), ("a", True, False, 2, False, 300.0, 0.2), ("b", False, False, 0, True, 50.0, 0.3), ("b", False, False, 0, False, 70.0, None), ("b", True, True, 1, False, 90.0, 0.5)]
+#: expect_action, tier, checks
+TASKS = [("click", "T0", ["visible"]), ("click", "T1", ["destructive_confirmed", "visible"]), ("fill", "T1", []), ("none", "T0", ["destructive_confirmed"])]
+#: id, what a token model answers
+MODEL_ANSWERS = [
+    (1, '[{"entity":"B-PERSON","score":0.9,"word":"Ann"},{"entity":"O","score":0.8,"word":"x"}]'), (2, '[[{"entity":"B-AGE","score":0.5,"word":"7"}],[],[{"entity":"O","score":0.4,"word":"y"}]]'), (3, "[]"), (4, " [ [ ] ] "),
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import evaluate, policy, redaction, rules
+from ..operators import elements, evaluate, policy, redaction, rules
 from . import fixtures
 
 
@@ -84,10 +84,10 @@ def _token(value: str, cls: str) -> str:
 
 TOKENS = f"{HITS}, tok AS (SELECT *, {_token('v', 'cls')} AS token FROM kept)"
 REDACTED = f"""{TOKENS}, nb AS (
-  SELECT k.*, d.text, CASE WHEN cls = lag(cls) OVER w AND s - lag(e) OVER w <= 2 AND (s - lag(e) OVER w <= 0 OR regexp_matches(substr(d.text, CAST(lag(e) OVER w + 1 AS INTEGER), CAST(s - lag(e) OVER w AS INTEGER)), '^[.,''\\s-]+$')) THEN 0 ELSE 1 END AS fresh
+  SELECT k.*, d.text, CASE WHEN cls = lag(cls) OVER w AND s - lag(e) OVER w <= 2 AND (s - lag(e) OVER w <= 0 OR regexp_matches(substr(d.text, CAST(lag(e) OVER w + 1 AS INTEGER), CAST(s - lag(e) OVER w AS INTEGER)), '^([.,''-]|\\s+)$')) THEN 0 ELSE 1 END AS fresh
   FROM tok k JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY k.doc_id ORDER BY k.s)
 ), isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM nb),
-br AS (SELECT doc_id, any_value(text) AS text, any_value(cls) AS cls, min(s) AS s, max(e) AS e FROM isl GROUP BY doc_id, island),
+br AS (SELECT doc_id, any_value(text) AS text, any_value(cls) AS cls, min(s) AS s, arg_max(e, s) AS e FROM isl GROUP BY doc_id, island),
 vt AS (SELECT *, substr(text, s + 1, CAST(e - s AS INTEGER)) AS bv FROM br), bt AS (SELECT *, {_token('bv', 'cls')} AS btoken FROM vt),
 pieces AS (
   SELECT doc_id, s, substr(text, CAST(coalesce(lag(e) OVER w, 0) + 1 AS INTEGER), CAST(s - coalesce(lag(e) OVER w, 0) AS INTEGER)) || btoken AS piece, substr(text, CAST(e + 1 AS INTEGER)) AS tail
@@ -146,11 +146,11 @@ ORACLE: dict[str, str] = {
     "bridge_spans": r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '\b[A-Z][a-z]{1,15}\b') AS m, string_split_regex(text, '\b[A-Z][a-z]{1,15}\b') AS g FROM documents WHERE regexp_matches(text, '\b[A-Z][a-z]{1,15}\b')),
 i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM m),
 s AS (SELECT doc_id, g[i] AS gap, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS s, length(m[i]) AS n FROM i),
-j AS (SELECT *, CASE WHEN s - lag(s + n) OVER w <= 2 AND (s - lag(s + n) OVER w <= 0 OR regexp_matches(gap, '^[.,''\s-]+$')) THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+j AS (SELECT *, CASE WHEN s - lag(s + n) OVER w <= 2 AND (s - lag(s + n) OVER w <= 0 OR regexp_matches(gap, '^([.,''-]|\s+)$')) THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
 k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM j)
 SELECT doc_id, min(s) AS span_start, CAST(max(s + n) AS INTEGER) AS span_end, count(*) AS n_merged FROM k GROUP BY doc_id, island HAVING count(*) > 1""",
     "l2_input_reduction": f"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents), r AS (SELECT text FROM l WHERE length(text) > 2), u AS (SELECT DISTINCT substr(text, 1, 200) AS text FROM r)
-SELECT (SELECT count(*) FROM r) AS n_raw, count(*) AS n_unique, count(*) FILTER (NOT (regexp_matches(text, {_lit(evaluate.OWNED)}) AND NOT regexp_matches(text, {_lit(evaluate.NAMED)}))) AS n_kept FROM u""",
+SELECT (SELECT count(*) FROM r) AS n_raw, count(*) AS n_unique, count(*) FILTER (NOT (regexp_matches(text, {_lit('|'.join(evaluate.OWNED))}) AND NOT regexp_matches(text, {_lit(evaluate.NAMED)}))) AS n_kept FROM u""",
     "manifest_exact": f"WITH {HITS} SELECT cls, count(*) AS shown, count(*)::VARCHAR AS label FROM kept GROUP BY cls",
     "manifest_bucketed": f"WITH {HITS}, c AS (SELECT cls, count(*) AS n FROM kept GROUP BY cls) SELECT cls, n AS shown, {BUCKET} AS label FROM c",
     "manifest_top_tokens": f"WITH {TOKENS}, l AS (SELECT cls, list_sort(list(DISTINCT token)) AS t FROM tok GROUP BY cls) SELECT cls, array_to_string(t[1:6], ' ') || CASE WHEN len(t) > 6 THEN ' …' ELSE '' END AS tokens FROM l",
@@ -171,20 +171,31 @@ p AS (SELECT plan_id, step_idx, unnest([
  CASE WHEN mark < 0 THEN 'negative mark' END, CASE WHEN acting AND regexp_matches(concat_ws(' ', action, value, reason), {_lit(policy.SERVER_VERBS)}) THEN 'destructive words' END, CASE WHEN mark IS NOT NULL AND has_marks AND NOT known THEN 'unknown mark' END,
  CASE WHEN acting AND regexp_matches(label, {_lit(policy.SERVER_VERBS)}) THEN 'destructive label' END, CASE WHEN action IN ('fill', 'select') AND sensitive THEN 'sensitive field' END, CASE WHEN action = 'fill' AND sensitive AND length(value) > 3 AND NOT regexp_matches(trim(value), {_lit(policy.PLACEHOLDER)}) THEN 'raw value' END]) AS problem FROM r)
 SELECT CAST(plan_id AS BIGINT) AS plan_id, step_idx, problem FROM p WHERE problem IS NOT NULL""",
-    "semantic_elements": f"SELECT * FROM ({_values(fixtures.ELEMENT_CLASSES)}) v(ord, cls, is_password)",
-    "plan_streams": f"SELECT CAST(id AS BIGINT) AS id, ok, plan FROM ({_values(fixtures.STREAM_PLANS)}) v(id, ok, plan)",
     "detector_prf": f"WITH {SCORED} " + _rates("SELECT lang AS cls, count(*) FILTER (score >= 0.3 AND positive) AS tp, count(*) FILTER (score >= 0.3 AND NOT positive) AS fp, count(*) FILTER (score < 0.3 AND positive) AS fn FROM sc GROUP BY lang", "cls"),
     "pr_curve": f"WITH {SCORED} {_curve('')}",
     "pr_curve_ref": f"WITH {SCORED} {_curve('', True)}",
     "best_threshold": f"WITH {SCORED}, c AS ({_curve('lang')}) SELECT lang, threshold, f1 FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, threshold) = 1",
     "grouping_report": f"WITH {HITS} SELECT lang, cls, count(*) AS n_hits FROM kept JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, cls), (lang), (cls), ())",
     "box_iou": f"WITH {BOXES} SELECT p_partkey, round({_W} * {_H} / (w0 * h0 + w1 * h1 - {_W} * {_H}), 6) AS iou, x0 < x1 + w1 + 2 AND x1 < x0 + w0 + 2 AND y0 < y1 + h1 + 2 AND y1 < y0 + h0 + 2 AS overlaps FROM b",
-    "fuse_layers": f"""WITH v(doc_id, rule_ord, cls, source, score, s, e) AS ({_values(fixtures.LAYERS)}) SELECT CAST(doc_id AS BIGINT) AS doc_id, cls, arg_min(source, source || lpad(rule_ord::VARCHAR, 5, '0')) AS source, CAST(max(score) AS DOUBLE) AS score, s AS span_start, e AS span_end FROM v GROUP BY doc_id, cls, s, e""",
-    "merge_model_tokens": f"""WITH v(doc_id, ord, entity, score, s, e) AS ({_values(fixtures.TOKENS)}), t AS (SELECT *, regexp_replace(entity, '^[BI]-', '') AS label FROM v WHERE entity <> 'O'),
-j AS (SELECT *, CASE WHEN lag(label) OVER w = label AND s <= lag(e) OVER w + 1 AND NOT starts_with(entity, 'B-') THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY ord)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS span FROM j)
-SELECT CAST(doc_id AS BIGINT) AS doc_id, label, CAST(min(score) AS DOUBLE) AS score, min(s) AS span_start, max(e) AS span_end FROM k GROUP BY doc_id, span, label""",
+    "fuse_layers": f"""WITH RECURSIVE v(doc_id, k, cls, source, score, s, e, x) AS ({_values(fixtures.LAYERS)}),
+w(source, weight) AS (VALUES ('L0', 4), ('L1', 3), ('L2', 2), ('L3', 1)),
+r AS (SELECT v.*, weight FROM v JOIN w USING (source)),
+f AS (SELECT DISTINCT doc_id, 0 AS k, []::STRUCT(cls VARCHAR, source VARCHAR, weight INTEGER, score DOUBLE, txt VARCHAR, s INTEGER, e INTEGER, x DOUBLE)[] AS o FROM v
+  UNION ALL SELECT doc_id, k, CASE WHEN slot IS NULL THEN list_append(o, h) ELSE list_transform(o, lambda z, i: CASE WHEN i = slot AND h.weight > z.weight THEN struct_pack(cls := z.cls, source := h.source, weight := h.weight, score := greatest(z.score, h.score), txt := h.txt, s := z.s, e := z.e, x := coalesce(h.x, z.x)) ELSE z END) END
+  FROM (SELECT f.doc_id, r.k, f.o, struct_pack(cls := r.cls, source := r.source, weight := r.weight::INTEGER, score := r.score::DOUBLE, txt := r.k::VARCHAR, s := r.s::INTEGER, e := r.e::INTEGER, x := r.x::DOUBLE) AS h,
+    list_position(list_transform(f.o, lambda z: z.cls = r.cls AND CASE WHEN z.x IS NOT NULL AND r.x IS NOT NULL THEN z.x < r.x + 12 AND r.x < z.x + 12 ELSE z.s = r.s END), true) AS slot
+    FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)),
+z AS (SELECT doc_id, unnest(arg_max(o, k)) AS q FROM f GROUP BY doc_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, q.cls AS cls, q.source AS source, q.score AS score, q.txt AS text, q.s AS span_start, q.e AS span_end, q.x AS x FROM z""",
+    "merge_model_tokens": f"""WITH RECURSIVE v(doc_id, ord, entity, score, s, e) AS ({_values(fixtures.TOKENS)}),
+t AS (SELECT doc_id, ord, score::DOUBLE AS score, s, e, CASE WHEN entity = 'O' THEN NULL WHEN regexp_matches(entity, '^[^-]*-.+$') THEN regexp_replace(entity, '^[^-]*-', '') ELSE string_split(entity, '-')[1] END AS label FROM v),
+c AS (SELECT DISTINCT doc_id, -1 AS ord, NULL::VARCHAR AS label, NULL::DOUBLE AS score, NULL::INTEGER AS s, NULL::INTEGER AS e, 0 AS span FROM t
+  UNION ALL SELECT doc_id, ord, label, CASE WHEN joins THEN least(was, score) ELSE score END, CASE WHEN label IS NULL THEN NULL WHEN joins THEN began ELSE s0 END, CASE WHEN label IS NULL THEN NULL WHEN joins THEN greatest(until, e0) ELSE e0 END, CASE WHEN joins THEN span ELSE span + 1 END
+  FROM (SELECT t.doc_id, t.ord, t.label, t.score, c.score AS was, c.s AS began, c.e AS until, c.span, coalesce(t.s, c.e, 0) AS s0, coalesce(t.e, t.s, c.e, 0) AS e0, t.label IS NOT NULL AND c.label = t.label AND coalesce(t.s, c.e, 0) <= c.e AS joins
+    FROM c JOIN t ON t.doc_id = c.doc_id AND t.ord = c.ord + 1))
+SELECT CAST(doc_id AS BIGINT) AS doc_id, any_value(label) AS label, min(score) AS score, min(s) AS span_start, max(e) AS span_end FROM c WHERE label IN ({', '.join(map(_lit, elements.MODEL_LABELS))}) GROUP BY doc_id, span""",
     "label_similarity": f"WITH n AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nx FROM part), w AS (SELECT p_partkey, {_words('p_name')} AS a, {_words('nx')} AS b FROM n WHERE nx IS NOT NULL) SELECT p_partkey, round({_jaccard('a', 'b')}, 6) AS similarity FROM w",
-    "best_label_match": f"WITH p AS (SELECT p_brand AS page, p_partkey AS node_id, {_words('p_name')} AS w FROM part), s AS (SELECT a.page, a.node_id, b.node_id AS best_node, round({_jaccard('a.w', 'b.w')}, 6) AS similarity FROM p a JOIN p b ON a.page = b.page AND a.node_id <> b.node_id WHERE a.node_id % 10 = 0 AND len(list_intersect(a.w, b.w)) > 0) SELECT page, node_id, best_node, similarity FROM s QUALIFY row_number() OVER (PARTITION BY page, node_id ORDER BY similarity DESC, best_node) = 1",
+    "best_label_match": f"WITH p AS (SELECT p_brand AS page, p_partkey AS node_id, {_words('p_name')} AS w FROM part), s AS (SELECT a.page, a.node_id, b.node_id AS best_node, round({_jaccard('a.w', 'b.w')}, 6) AS similarity FROM p a JOIN p b ON a.page = b.page AND a.node_id <> b.node_id WHERE len(list_intersect(a.w, b.w)) > 0) SELECT page, node_id, best_node, similarity FROM s QUALIFY row_number() OVER (PARTITION BY page, node_id ORDER BY similarity DESC, best_node) = 1",
     "reading_order_marks": "SELECT p_brand AS page, p_partkey AS node_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY ((p_partkey * 53) % 900) // 24, (p_partkey * 37) % 1200, p_partkey) AS INTEGER) AS mark FROM part WHERE p_size > 5",
     "frame_gate": f"""WITH {FRAMES}, g AS (SELECT *, {BITS} AS bits FROM f), l AS (SELECT *, lag(cells) OVER w AS pc, lag(bits) OVER w AS pb, lag(dom_hash) OVER w AS ph FROM g WINDOW w AS (PARTITION BY stream ORDER BY seq)),
 m AS (SELECT *, round(list_sum(list_transform(list_zip(cells, pc), lambda z: abs(z[1] - z[2]))) / len(cells), 4) AS mad, CAST(coalesce(hamming(bits, pb), 0) AS INTEGER) AS hamming FROM l)
@@ -212,7 +223,8 @@ SELECT user_id, event_id FROM w WHERE took""",
 SELECT p_partkey, CAST(floor(w0 * k + 0.5) AS INTEGER) AS w, CAST(floor(h0 * k + 0.5) AS INTEGER) AS h, round(k, 6) AS scale, p_size > 1 AND w0 < h0 AS tiles FROM c""",
     "device_tiers": """WITH s AS (SELECT p_partkey, p_size % 9 AS ram, p_partkey * 97 % 3000 AS vram, p_partkey % 13 + 1 AS threads, p_partkey % 3 > 0 AS gpu, p_partkey % 2 = 0 AS isolated FROM part),
 t AS (SELECT *, CASE WHEN ram <> 0 AND ram < 2 AND threads < 4 THEN 'minimal' WHEN gpu AND vram > 0 AND vram < 512 THEN 'reduced' ELSE 'full' END AS tier, CASE WHEN isolated THEN greatest(threads - 1, 1) ELSE 1 END AS usable FROM s)
-SELECT p_partkey, tier, CASE WHEN tier <> 'full' THEN 0 WHEN NOT gpu THEN CASE WHEN usable >= 4 THEN 8 WHEN usable >= 2 THEN 4 ELSE 2 END WHEN vram >= 2048 THEN 16 WHEN vram >= 1024 THEN 8 ELSE 4 END AS batch FROM t""",
+SELECT p_partkey, tier, CASE WHEN tier <> 'full' THEN 0 WHEN NOT gpu THEN CASE WHEN usable >= 4 THEN 8 WHEN usable >= 2 THEN 4 ELSE 2 END WHEN vram >= 2048 THEN 16 WHEN vram >= 1024 THEN 8 ELSE 4 END AS batch,
+ tier = 'full' AS can_l2, tier <> 'minimal' AS can_l3, tier = 'full' AND gpu AND vram >= 2048 AS can_audit, CASE WHEN tier = 'minimal' THEN 'ram' WHEN gpu THEN 'vram' WHEN isolated THEN 'threads' ELSE 'unknown' END AS bottleneck FROM t""",
     "manifest_signature": f"""WITH {HITS}, l AS (SELECT doc_id, lpad(s::VARCHAR, 9, '0') || ':' || e || '|' || cls || '|solid_fill' AS x FROM kept), t AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY doc_id)
 SELECT doc_id, {_fnv('t')} || lpad(lower(to_hex(length(t))), 8, '0') AS fingerprint, sha256(t) AS sha256 FROM t""",
     "manifest_summary": f"WITH {HITS}, c AS (SELECT cls, count(*) AS n FROM kept GROUP BY cls) SELECT 'HIDDEN: ' || CAST(sum(n) AS BIGINT) || ' item(s) in ' || count(*) || ' class(es)' || chr(10) || string_agg('  ' || cls || ': ' || n, chr(10) ORDER BY cls) AS summary FROM c",
