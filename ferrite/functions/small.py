@@ -41,6 +41,22 @@ def token_batch(vram: Column, threads: Column, gpu: Column, isolated: Column, ti
     return F.when(tier != "full", 0).when(~gpu, cpu).when(vram >= 2048, 16).when(vram >= 1024, 8).otherwise(4)
 
 
+def device_plan(ram: Column, vram: Column, threads: Column, gpu: Column, isolated: Column) -> Column:
+    """struct(tier, can_l2, can_l3, can_audit, batch, bottleneck, reason): which layers a device can run, and why."""
+    tier = device_tier(ram, vram, threads, gpu)
+    usable = F.when(isolated, F.greatest(threads - 1, F.lit(1))).otherwise(1)
+    bottleneck = F.when(tier == "minimal", "ram").when(gpu, "vram").when(isolated, "threads").otherwise("unknown")
+    reason = (
+        F.when(tier == "minimal", "little memory and few cores: patterns and field names only")
+        .when(tier == "reduced", F.concat(F.lit("no room for the token model in "), vram.cast("string"), F.lit(" MB of video memory")))
+        .when(gpu, F.concat(vram.cast("string"), F.lit(" MB of video memory")))
+        .when(isolated, F.concat(F.lit("no GPU: "), usable.cast("string"), F.lit(" threads")))
+        .otherwise("no GPU: one thread")
+    )
+    full = tier == "full"
+    return F.struct(tier.alias("tier"), full.alias("can_l2"), (tier != "minimal").alias("can_l3"), (full & gpu & (vram >= 2048)).alias("can_audit"), token_batch(vram, threads, gpu, isolated, tier).alias("batch"), bottleneck.alias("bottleneck"), reason.alias("reason"))
+
+
 def model_verdict(error: Column, turns: Column, used_mark: Column, invented: Column, invalid: Column, truncated: Column) -> Column:
     """One word about a compared model; marks that it invents weigh more than slowness."""
     return (

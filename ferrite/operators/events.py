@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def epoch_us(ts: str) -> Column:
@@ -53,18 +57,25 @@ def known_sum(usd: Column) -> Column:
 
 
 def throttle(events: DataFrame, key: str, t: str, order: str, least_gap: int) -> DataFrame:
-    """Greedy sampling of each key's events: one is kept if ``least_gap`` has passed since the last kept one.
+    """(key, order) of a greedy sample of each key's events: one is kept if ``least_gap`` has passed since the last kept one.
 
-    A fold over a key's ordered times: what is gathered is two numbers per event.
+    Which event is kept depends on all before it, so a task streams its keys in order; it holds the last kept time alone.
     """
-    gathered = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(order).alias("id")))).alias("e"))
-    kind = gathered.schema["e"].dataType.simpleString()
+    rows = events.select(key, order, t).repartition(key).sortWithinPartitions(key, t, order)
+    schema = StructType([rows.schema[key], rows.schema[order]])
 
-    def add(kept: Column, e: Column) -> Column:
-        late = F.size(kept) == 0
-        return F.when(late | (e["t"] - F.get(kept, F.size(kept) - 1)["t"] >= least_gap), F.concat(kept, F.array(e))).otherwise(kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, begun = None, None, False
+        for b in batches:
+            keep = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                fresh = not begun or k != now or last is None or at is not None and at - last >= least_gap
+                keep.append(fresh)
+                if fresh:
+                    now, last, begun = k, at, True
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], schema.names)
 
-    return gathered.select(key, F.explode(F.aggregate("e", F.array().cast(kind), add)).alias("k")).select(key, F.col("k.id").alias(order))
+    return rows.mapInArrow(run, schema)
 
 
 def changes(events: DataFrame, key: str, t: str, order: str, state: str) -> DataFrame:
@@ -95,8 +106,38 @@ def plan_stops(steps: DataFrame, plan: str, order: str, stop: Column, cap: int =
     return out.withColumn("n_run", F.least(F.coalesce(F.col("stop_at") + 1, F.col("n_steps")), F.lit(cap).cast("bigint")))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``by``; null keys meet."""
+    named = right.select(*[F.col(c).alias("_on_" + c) for c in by], *[c for c in right.columns if c not in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col("_on_" + c))
+    return left.join(named, on).drop(*["_on_" + c for c in by])
+
+
+def at_rank(values: DataFrame, value: str, rank, *by: str, bins: int = 4096) -> DataFrame:
+    """(by, value): each group's value at the 0-based place ``rank(n)`` of its n values in order, null ones left out.
+
+    Values are counted in bins of equal width first; only the bin that holds the place is ranked, so no task sorts a group.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    span = F.when(F.col("_high") > F.col("_low"), (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    binned = _null_safe(rows, ends, by).withColumn("_bin", F.least(F.floor(span * bins), F.lit(bins - 1)).cast("int"))
+    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = rank(F.col("_n")).cast("bigint")
+    bin_of = counts.withColumn("_k", place - before).where((F.col("_k") >= 0) & (F.col("_k") < F.col("_c"))).select(*by, "_bin", "_k")
+    inside = _null_safe(binned.select(*by, "_bin", "_v"), bin_of, (*by, "_bin"))
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1)
+    return ranked.where("_r = _k").select(*by, F.col("_v").alias("value"))
+
+
 def percentile_rounded(values: DataFrame, value: str, p: float, *by: str) -> DataFrame:
     """The element at index round_half_even(p * (n - 1)) of each group's sorted values."""
-    w = Window.partitionBy(*by)
-    ranked = values.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_k") == F.bround(F.lit(p) * (F.col("_n") - 1), 0).cast("bigint")).select(*by, F.col(value).alias("value"))
+    return at_rank(values, value, lambda n: F.bround(F.lit(p) * (n - 1), 0), *by)
+
+
+def percentile_nearest(values: DataFrame, value: str, p: float, *by: str) -> DataFrame:
+    """The element at index ceil(p * n) - 1 of each group's sorted values, 0 at least."""
+    return at_rank(values, value, lambda n: F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)), *by)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HAMMING_CUT, MAD_CUT, CELL_CUT, TILE_SHARE = 2, 1.2, 6.0, 0.02
 
@@ -57,9 +60,10 @@ def dirty_tiles(pairs: DataFrame, *by: str, width: int = 8, tile: int = 2, cut:
     return cells.groupBy(*by, tx.alias("tx"), ty.alias("ty")).agg(F.round(F.avg("m"), 6).alias("change")).where(F.col("change") > share)
 
 
-def rectangles(cells: Iterable[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Tiles joined into rectangles, greedily: as far right as they go, then as far down."""
-    left = set(cells)
+def rectangles(tiles: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Tiles (x, y, change) joined into rectangles with their greatest change, greedily: as far right as they go, then as far down."""
+    change = {(x, y): c for x, y, c in tiles}
+    left = set(change)
     out = []
     for x, y in sorted(left, key=lambda c: (c[1], c[0])):
         if (x, y) not in left:
@@ -70,23 +74,24 @@ def rectangles(cells: Iterable[tuple[int, int]]) -> list[tuple[int, int, int, in
         h = 1
         while all((x + i, y + h) in left for i in range(w)):
             h += 1
-        left -= {(x + i, y + j) for i in range(w) for j in range(h)}
-        out.append((x, y, w, h))
+        inside = {(x + i, y + j) for i in range(w) for j in range(h)}
+        left -= inside
+        out.append((x, y, w, h, max(change[c] for c in inside)))
     return out
 
 
 def coalesce_tiles(tiles: DataFrame, frame: str) -> DataFrame:
-    """(frame, x, y, w, h): each frame's tiles as rectangles. The greedy order is sequential within one small frame."""
+    """(frame, x, y, w, h, change): each frame's tiles (tx, ty, change) as rectangles. The greedy order is sequential within one small frame."""
     from ..session import ship_package
 
     ship_package(tiles.sparkSession)
     kind = tiles.schema[frame].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = rectangles(zip(group["tx"].tolist(), group["ty"].tolist(), strict=True))
-        return pd.DataFrame([(group[frame].iloc[0], *r) for r in rows], columns=[frame, "x", "y", "w", "h"])
+        rows = rectangles(zip(group["tx"].tolist(), group["ty"].tolist(), group["change"].tolist(), strict=True))
+        return pd.DataFrame([(group[frame].iloc[0], *r) for r in rows], columns=[frame, "x", "y", "w", "h", "change"])
 
-    return tiles.groupBy(frame).applyInPandas(run, f"{frame} {kind}, x int, y int, w int, h int")
+    return tiles.where(F.col(frame).isNotNull()).groupBy(frame).applyInPandas(run, f"{frame} {kind}, x int, y int, w int, h int, change double")
 
 
 def marks(controls: DataFrame, page: str, order: str, band: int = 24) -> DataFrame:
@@ -126,3 +131,87 @@ def resolve_marks(assigned: DataFrame, live: DataFrame, page: str) -> DataFrame:
     joined = here.join(best, [page, "node_id"], "left").withColumn("own", F.when(F.col("now").isNotNull(), label_similarity(F.col("label"), F.col("now"))))
     status = F.when(F.col("own") >= 0.99, "ok").when(F.col("best") >= 0.55, "reassigned").when(F.col("own") >= 0.34, "ok").otherwise("lost")
     return joined.select(page, "mark", status.alias("status"), F.when(status == "reassigned", F.col("best_node")).when(status == "ok", F.col("node_id")).alias("node"))
+
+
+def badge_rect(box: Column, scale: Column, size: float = 22.0) -> Column:
+    """The square of a mark's badge, pinned to its element's top left corner and kept on the page."""
+    s = scale * size
+    corner = lambda v: F.greatest(F.lit(0.0), v - s * 0.35)
+    return F.struct(corner(box["x"]).alias("x"), corner(box["y"]).alias("y"), s.alias("w"), s.alias("h"))
+
+
+def crop_rects(tiles: DataFrame, cols: int, rows: int, width: int, height: int) -> DataFrame:
+    """Tiles (tx, ty, tw, th) of a grid as pixel rectangles x, y, w, h of a frame; those under two pixels are left out."""
+    at = lambda t, n, size: F.greatest(F.lit(0), F.floor(F.col(t) / n * size + 0.5)).cast("int")
+    side = lambda t, n, size, start: F.greatest(F.lit(1), F.least(F.lit(size) - F.col(start), F.floor(F.col(t) / n * size + 0.5).cast("int"))).cast("int")
+    out = tiles.withColumns({"x": at("tx", cols, width), "y": at("ty", rows, height)})
+    return out.withColumns({"w": side("tw", cols, width, "x"), "h": side("th", rows, height, "y")}).where("w >= 2 AND h >= 2")
+
+
+def recomposite(base: DataFrame, tiles: DataFrame, *frame: str) -> DataFrame:
+    """(frame, i, value): the cells of a session's last whole frame with the tiles sent since stamped on, the latest on top.
+
+    base: (frame, i, value); tiles: (frame, seq, i, value).
+    """
+    rows = base.select(*frame, "i", F.lit(None).cast("bigint").alias("seq"), "value").unionByName(tiles.select(*frame, "i", F.col("seq").cast("bigint").alias("seq"), "value"))
+    # Cells of tiles outside the base frame are cut off.
+    top = rows.groupBy(*frame, "i").agg(F.max_by("value", F.coalesce("seq", F.lit(-1))).alias("value"), F.count_if(F.col("seq").isNull()).alias("_n"))
+    return top.where("_n > 0").drop("_n")
+
+
+#: Analysis cells at a quarter of the frame's scale, and from which energy on a cell holds text.
+CELL, SCALE, PEAK, SHARE = 8, 4, 6.0, 0.35
+
+
+def text_boxes(luma: np.ndarray, width: int, height: int) -> list[tuple[int, int, int, int, float]]:
+    """(x, y, w, h, score) of regions dense in strokes, from a frame's luma at a quarter of its scale."""
+    rows, cols = luma.shape[0] // CELL, luma.shape[1] // CELL
+    if not rows or not cols:
+        return []
+    total, n = np.zeros(luma.shape), np.zeros(luma.shape)
+    total[:, :-1] += np.abs(np.diff(luma, axis=1))
+    total[:-1] += np.abs(np.diff(luma, axis=0))
+    n[:, :-1] += 1
+    n[:-1] += 1
+    cells = lambda a: a[: rows * CELL, : cols * CELL].reshape(rows, CELL, cols, CELL).sum((1, 3))
+    energy = cells(total) / np.maximum(cells(n), 1)
+    if energy.max() < PEAK:
+        return []
+    left = {(int(x), int(y)) for y, x in np.argwhere(energy >= SHARE * energy.max())}
+    out = []
+    while left:
+        group, todo = [], [left.pop()]
+        while todo:
+            x, y = todo.pop()
+            group.append((x, y))
+            near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & left
+            left -= near
+            todo += near
+        if len(group) < 2:
+            continue
+        (x0, y0), (x1, y1) = map(min, zip(*group, strict=True)), map(max, zip(*group, strict=True))
+        x, y = max(0, (x0 - 1) * CELL * SCALE), max(0, (y0 - 1) * CELL * SCALE)
+        w, h = min(width - x, (x1 - x0 + 3) * CELL * SCALE), min(height - y, (y1 - y0 + 3) * CELL * SCALE)
+        if w >= 12 and h >= 6:
+            out.append((x, y, w, h, min(0.95, 0.4 + 4 * len(group) / (rows * cols))))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def text_regions(frames: DataFrame, frame: str) -> DataFrame:
+    """(frame, x, y, w, h, score) from (frame, width, height, columns, luma): luma is row by row at a quarter of the scale."""
+    from ..session import ship_package
+
+    ship_package(frames.sparkSession)
+    rows = frames.select(frame, "width", "height", "columns", "luma")
+    schema = StructType([rows.schema[frame], *StructType.fromDDL("x int, y int, w int, h int, score double").fields])
+    kinds = [pa.int32()] * 4 + [pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i, (width, height, columns, luma) in enumerate(zip(*[b.column(k).to_pylist() for k in range(1, 5)], strict=True)):
+                if luma and columns and width >= CELL and height >= CELL:
+                    found += [(i, *box) for box in text_boxes(np.array(luma, np.float64)[: len(luma) // columns * columns].reshape(-1, columns), width, height)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in found], pa.int64())), *[pa.array([r[k + 1] for r in found], t) for k, t in enumerate(kinds)]], schema.names)
+
+    return rows.mapInArrow(run, schema)

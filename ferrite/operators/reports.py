@@ -94,3 +94,23 @@ def redact_name(name: Column, hits: Column, session: str) -> Column:
     sure = F.filter(hits, lambda h: ((h["cls"] == "PASSWORD") | (h["score"] >= 0.5)) & (F.length(h["text"]) >= 2) & F.contains(name, h["text"]))
     found = F.transform(sure, lambda h: F.struct((F.instr(name, h["text"]) - 1).cast("int").alias("start"), (F.instr(name, h["text"]) - 1 + F.length(h["text"])).cast("int").alias("end"), h["cls"].alias("cls")))
     return spans.substitute(name, spans.bridge(name, found), lambda v, c: token(v, c, session))
+
+
+def compare_models(turns: DataFrame, model: str = "model") -> DataFrame:
+    """A row per model from turns (model, parsed, used_mark, invented, truncated, ms, usd): counts, mean time, known cost.
+
+    A turn that neither parsed nor was cut off is invalid; one unknown cost makes the sum unknown.
+    """
+    from .events import known_sum
+
+    return turns.groupBy(model).agg(F.count("*").alias("turns"), F.count_if("parsed").alias("parsed"), F.count_if("used_mark").alias("used_mark"), F.sum("invented").alias("invented"), F.count_if("truncated").alias("truncated"), F.count_if(~F.col("parsed") & ~F.col("truncated")).alias("invalid"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(known_sum(F.col("usd")), 4).alias("usd"))
+
+
+def task_histogram(tasks: DataFrame) -> DataFrame:
+    """(expect_action, n, tier0, destructive) from tasks (expect_action, tier, checks)."""
+    return tasks.groupBy("expect_action").agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "T0").alias("tier0"), F.count_if(F.array_contains("checks", "destructive_confirmed")).alias("destructive"))
+
+
+def low_confidence(hits: DataFrame, *by: str) -> DataFrame:
+    """(by, low): how many hits are below one half. Reported, never dropped."""
+    return hits.groupBy(*by).agg(F.count_if(F.col("score") < 0.5).alias("low"))

@@ -48,3 +48,15 @@ def provider_chunks(raw: Column) -> Column:
 def write_results(df: DataFrame, path: str, form: str = "json") -> None:
     """Results as JSON lines or as CSV with a header."""
     (df.write.mode("overwrite").option("header", True).csv if form == "csv" else df.write.mode("overwrite").json)(path)
+
+
+def model_rows(raw: Column) -> Column:
+    """A token model's answer as a list of token lists: one for each text of a batch, or the only one of a single text."""
+    token = "struct<entity:string,score:double,word:string,start:int,end:int>"
+    nested = raw.rlike(r"^\s*\[\s*\[")
+    return F.when(nested, F.from_json(raw, f"array<array<{token}>>")).when(raw.rlike(r"^\s*\[\s*\]\s*$"), F.array().cast(f"array<array<{token}>>")).otherwise(F.array(F.from_json(raw, f"array<{token}>")))
+
+
+def blocked_result(raw: Column) -> Column:
+    """Whether a result says that its message was blocked."""
+    return F.coalesce(F.get_json_object(raw, "$.blocked") == "true", F.lit(False))

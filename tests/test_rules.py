@@ -129,7 +129,7 @@ def test_dhash_reference_saturates(spark):
 
 
 def test_rectangles():
-    assert frames.rectangles([(0, 0), (1, 0), (0, 1), (1, 1), (0, 2)]) == [(0, 0, 2, 2), (0, 2, 1, 1)]
+    assert frames.rectangles([(0, 0, 0.1), (1, 0, 0.5), (0, 1, 0.2), (1, 1, 0.3), (0, 2, 0.4)]) == [(0, 0, 2, 2, 0.5), (0, 2, 1, 1, 0.4)]
 
 
 def test_resolve_marks(spark):

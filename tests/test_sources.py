@@ -14,11 +14,46 @@ def test_elements_and_outline(spark):
     by = {r.path: r for r in rows}
     assert by["0"].id == "f" and by["0/0"].text == "Name" and by["0/0/0"].text == "x" and by["0/1"].text == "Two"
     assert [tuple(x) for x in by["0/1/0"].data_attrs] == [("token", "1")]
-    assert html.outline(html.elements(df, "page_id"), "page_id").where("tag = 'li'").count() == 40
-    assert html.collapse_repeats(html.elements(df, "page_id"), "page_id").where("tag = 'li'").first().repeats == 50
+    assert html.outline(html.elements(df, "page_id")).where("tag = 'li'").count() == 40
+    same = html.collapse_repeats(html.elements(df, "page_id")).where("tag = 'li'").collect()
+    assert [r.repeats for r in same] == [40]
     assert html.structural_hash(html.elements(df, "page_id"), "page_id").count() == 1
 
 
+def test_walk_keeps_what_the_rules_keep():
+    page = """<html><head><title>T</title></head><body><div><img src=a><span></span></div><div><p>Text <b>in</b> it</p></div><div></div>
+    <section class="sr-only"><p>hid</p></section><p aria-hidden=true>no</p><script>x()</script><form><label for=m>Your mail</label><input id=m placeholder=mail>
+    <label>Card <input name=card></label><input type=hidden value=1><select title=Pick><option>a</select><a href=/x aria-label=" Go ">go</a><a>anchor</a>
+    <span aria-labelledby="m n">z</span><button role=tab></button></form><table>""" + "<tr><td>1<td>2<td>3</tr>" * 5 + "</table></body></html>"
+    by = {}
+    for r in html.read_elements(page):
+        by.setdefault(r["tag"], []).append(r)
+    kept = {t: [r["kept"] for r in rows] for t, rows in by.items()}
+    # A container without a name goes with all below it; a leaf without one stays.
+    assert kept["div"] == [False, True, True] and kept["img"] == [False] and kept["span"] == [False, True] and kept["b"] == [True]
+    assert kept["section"] == [False] and kept["script"] == [False] and kept["head"] == [False] and kept["html"] == [False] and kept["input"] == [True, True, False]
+    names = {t: [r["label"] for r in rows] for t, rows in by.items()}
+    assert names["input"][:2] == ["Your mail", "Card"] and names["select"] == ["Pick"] and names["a"] == ["Go", "anchor"] and names["p"][0] == "Text in it"
+    assert [r["of_role"] for r in by["a"]] == ["link", "generic"] and by["button"][0]["of_role"] == "tab" and by["select"][0]["of_role"] == "combobox"
+    # Five equal rows: the first stays, with two of its own children.
+    assert [r["shown"] for r in by["tr"]] == [True] + [False] * 4 and by["tr"][0]["repeats"] == 5
+    assert [r["shown"] for r in by["td"]] == [True, True] + [False] * 13
+    assert [r["place"] for r in by["body"]] == ["0"] and by["td"][1]["place"].count("/") == 3
+
+
+def test_walk_bounds():
+    deep = html.read_elements("<body>" + "".join(f"<div title={i}>x" for i in range(30)))
+    assert [r["kept"] for r in deep] == [True] * 9 + [False] * 22
+    pruned = html.read_elements("<body>" + "<div><br></div>" * 50 + "".join(f"<p>{i}" for i in range(50)))
+    assert sum(r["kept"] for r in pruned if r["tag"] == "p") == 40  # pruned siblings take no room
+    assert len(html.read_elements("<div>" * 20_000)) == 20_000
+
+
+def test_large_page_ids_next_to_nulls(spark):
+    df = spark.createDataFrame([(2**60 + 1, "<p>a"), (None, "<p>b<p>c")], "page_id bigint, html string").coalesce(1)
+    assert sorted((r.page_id or 0, r.text) for r in html.elements(df, "page_id").collect()) == [(0, "b"), (0, "c"), (2**60 + 1, "a")]
+
+
 def test_forms_and_sinks(spark, tmp_path):
     (tmp_path / "form_00.json").write_text(json.dumps({"id": "syn_00", "instances": [{"id": "i", "cls": "PAN", "value": "x", "channel": "dom", "node_id": "n", "span": [0, 1]}]}, indent=1))
     truth = wire.ground_truth(wire.forms(spark, str(tmp_path / "form_*.json")))
