@@ -811,3 +811,69 @@ def test_pseudonyms_equal_plain_python(spark, sf):
     assert "some key" not in pii_pseudonyms.pseudonymise(df, "some key")._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         pii_pseudonyms.pseudonymise(df, "")
+
+
+# -- learning, step by step
+
+
+def test_quality_training_equals_a_plain_loop():
+    import math
+    import random
+
+    rng = random.Random(0)
+    words = "good fine clear text BUY NOW!! click $$$ here 123 the a of".split()
+    examples = [(" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), rng.randint(0, 1), rng.choice([0.5, 2.0])) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    memo = quality._Memo()
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(4):
+        for text, y, share in examples:
+            pairs = list(zip(*(v.tolist() for v in quality.features(text, memo)), strict=True))
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-max(-35, min(35, bias + sum(w[i] * x for i, x in pairs)))))
+            g = (p - y) * share
+            for i, x in pairs:
+                was = n.get(i, 0.0)
+                n[i] = was + (g * x) ** 2
+                z[i] = z.get(i, 0.0) + g * x - (math.sqrt(n[i]) - math.sqrt(was)) / alpha * w[i]
+            was, bn = bn, bn + g * g
+            bz += g - (math.sqrt(bn) - math.sqrt(was)) / alpha * bias
+    model = quality.train(examples)
+    assert abs(model.intercept + bz / ((beta + math.sqrt(bn)) / alpha)) < 1e-9
+    got = {i: float(v) for i, v in enumerate(model.weights) if v}
+    want = {i: weight(i) for i in z if weight(i)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_features_of_a_text_are_its_ngrams():
+    memo = quality._Memo()
+    slots, values = quality.features("Go go go. 12 A", memo)
+    # Six tokens: three words and three other marks; singles, pairs, pairs of shapes, triples of shapes.
+    assert round(float((values**2).sum() * 6)) == 6 + 5 + 5 + 4
+    assert len(quality.features("", memo)[0]) == len(quality.features(" \n", memo)[0]) == 0
+
+
+def test_language_takes_the_smallest_sum_of_sizes():
+    import zstandard
+
+    raw = {"en": language_id.normalise(EN * 3), "fr": language_id.normalise(FR * 3)}
+    model = language_id.LanguageModel(raw, {"en": 1, "fr": 1}, chunk=64)
+    for text in ("the dog sat on the mat with the king " * 7, "la maison du roi et le chat " * 9, "zzz qqq", "the le"):
+        data = language_id.normalise(text)
+        sizes = {}
+        for lang, d in raw.items():
+            longest = max(map(len, raw.values()))
+            params = zstandard.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=longest, write_content_size=False, write_checksum=False, write_dict_id=False)
+            chunks = [data[i : i + 64] for i in range(0, len(data), 64)]
+            coder = lambda: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)  # noqa: E731, B023
+            sizes[lang] = sum(len(coder().compress(c)) for c in chunks)
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        margin = abs(sizes["en"] - sizes["fr"]) / min(sizes.values())
+        got = model.classify(text)
+        assert got[0] == best and got[2] == (margin < 0.01) and 0 <= got[1] <= 1
