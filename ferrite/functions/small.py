@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as browsers know it, for use in a character class.
+WHITE = "\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def clamp(text: Column, most: int = 500) -> Column:
-    """One line: breaks become a mark, and what is longer than ``most`` ends in an ellipsis."""
-    line = F.trim(F.regexp_replace(text, r"\s*\n\s*", " ⏎ "))
+    """One line without white space around it: breaks become a mark, and what is longer than ``most`` ends in an ellipsis."""
+    line = F.regexp_replace(F.regexp_replace(text, f"[{WHITE}]*\n[{WHITE}]*", " ⏎ "), f"^[{WHITE}]+|[{WHITE}]+\\z", "")
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 1), F.lit("…"))).otherwise(line)
 
 
@@ -29,6 +33,12 @@ def send_tiles(turn: Column, tile_bytes: Column, full_bytes: Column) -> Column:
     return F.coalesce((turn > 1) & (tile_bytes > 0) & (tile_bytes < full_bytes), F.lit(False))
 
 
+def capture_mode(tab: Column, visible: Column, live: Column, region: Column, prefer_region: Column) -> Column:
+    """struct(mode, crop): a live stream where it is wanted and can be had, else snapshots, else the page's text alone."""
+    stream = tab & live
+    return F.struct(F.when(stream, "stream").when(visible, "snapshot").otherwise("pixel-only").alias("mode"), (stream & region & prefer_region).alias("crop"))
+
+
 def device_tier(ram: Column, vram: Column, threads: Column, gpu: Column) -> Column:
     """minimal, reduced or full, by memory, video memory and cores; unknown memory (0) is not held against a device."""
     return F.when((ram != 0) & (ram < 2) & (threads < 4), "minimal").when(gpu & (vram > 0) & (vram < 512), "reduced").otherwise("full")

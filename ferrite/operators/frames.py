@@ -115,9 +115,11 @@ def label_similarity(a: Column, b: Column) -> Column:
 def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
     """(page, node_id, best_node, similarity): each wanted label's most similar live one on its page, itself excluded.
 
-    Candidates share at least one word, by an equi-join on words, so no page pairs all its controls.
+    Candidates share at least one word, or are equal labels without words, by an equi-join, so no page pairs all its controls.
     """
-    words = lambda df, n: df.select(page, F.col("node_id").alias(n), F.col("label").alias(n + "_label"), F.explode(label_tokens(F.col("label"))).alias("word"))
+    tokens = label_tokens(F.col("label"))
+    keys = F.when(F.size(tokens) == 0, F.array(F.concat(F.lit("="), F.lower("label")))).otherwise(tokens)
+    words = lambda df, n: df.select(page, F.col("node_id").alias(n), F.col("label").alias(n + "_label"), F.explode(keys).alias("word"))
     pairs = words(wanted, "a").join(words(live, "b"), [page, "word"]).where("a <> b").select(page, "a", "b", "a_label", "b_label").distinct()
     scored = pairs.withColumn("similarity", F.round(label_similarity(F.col("a_label"), F.col("b_label")), 6))
     w = Window.partitionBy(page, "a").orderBy(F.col("similarity").desc(), "b")

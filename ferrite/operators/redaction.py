@@ -46,12 +46,18 @@ def top_tokens(hits: DataFrame, k: int = 6) -> DataFrame:
 def gate(items: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
     """Fail-closed verdict per ``by``: every detected item needs an entry, every entry an area.
 
-    items: (…, hit_id, cls); entries: (…, hit_id, w, h).
+    items: (…, hit_id, cls); entries: (…, hit_id, w, h). Where entries have a cls, they must also declare as many opaque
+    regions as were detected.
     """
     joined = items.join(entries, [*by, "hit_id"], "left")
     out = joined.groupBy(*by).agg(F.count("*").alias("n_items"), F.count("w").alias("covered"), F.count_if(F.col("w").isNull()).alias("uncovered"), F.count_if((F.col("w") * F.col("h")) <= 0).alias("empty_boxes"), F.count_if(F.col("w").isNull() & (F.col("cls") == "OPAQUE_REGION")).alias("opaque_uncovered"))
     reasons = F.array_compact(F.array(F.when(F.col("uncovered") > 0, F.concat(F.col("uncovered").cast("string"), F.lit(" uncovered"))), F.when(F.col("empty_boxes") > 0, F.concat(F.col("empty_boxes").cast("string"), F.lit(" without area"))), F.when(F.col("opaque_uncovered") > 0, F.lit("opaque region uncovered"))))
-    return out.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("ok", F.col("reasons") == "")
+    if "cls" in entries.columns:
+        opaque = lambda rows, name: rows.groupBy(*by).agg(F.count_if(F.col("cls") == "OPAQUE_REGION").alias(name))
+        out = out.join(opaque(items, "_seen"), [*by], "left").join(opaque(entries, "_declared"), [*by], "left")
+        declared = F.coalesce("_declared", F.lit(0))
+        reasons = F.concat(reasons, F.array_compact(F.array(F.when(F.col("_seen") != declared, F.concat(declared.cast("string"), F.lit(" of "), F.col("_seen").cast("string"), F.lit(" opaque regions declared"))))))
+    return out.withColumn("reasons", F.array_join(reasons, "; ")).withColumn("ok", F.col("reasons") == "").drop("_seen", "_declared")
 
 
 #: What a log line may not hold. Borders are spelt out for Java by ``_java``.

@@ -19,11 +19,32 @@ def build_manifest(hits: DataFrame, scale: float, session: str) -> DataFrame:
     return hits.withColumn("method", redaction_method(F.col("cls"), F.col("box").isNotNull())).withColumn("token", token(F.col("text"), F.col("cls"), session)).withColumn("box", box).drop("text")
 
 
-def sign(entries: DataFrame, *by: str) -> DataFrame:
-    """(by, fingerprint, sha256) over an entry's id, class and method in order: against accidents, not attackers."""
-    line = F.concat_ws("|", "hit_id", "cls", "method")
-    text = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    return entries.groupBy(*by).agg(text.alias("_t")).select(*by, F.concat(fnv1a_hex(F.col("_t")), F.lpad(F.lower(F.hex(F.length("_t"))), 8, "0")).alias("fingerprint"), F.sha2("_t", 256).alias("sha256"))
+def _folded(text: Column, seed: int, factor: int) -> Column:
+    """A 32-bit fold of the characters: xor, then multiply. Halves keep the products within a bigint."""
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+
+    def step(h: Column, c: Column) -> Column:
+        x = h.bitwiseXOR(F.ascii(c).cast("bigint"))
+        high = (F.shiftright(x, 16) * factor).bitwiseAND(F.lit(0xFFFF).cast("bigint")) * 65536
+        return (x.bitwiseAND(F.lit(0xFFFF).cast("bigint")) * factor + high).bitwiseAND(mask)
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(seed).cast("bigint"), step)
+
+
+def sign(entries: DataFrame, frame_hash: Column, *by: str) -> DataFrame:
+    """(by, signature) of entries (…, hit_id, cls, method, box) on a frame: against accidents, not attackers.
+
+    Two folds over the entries in order, as JSON, and the frame's hash, then the length of the JSON. A missing side is left out.
+    """
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    sides = [F.floor(F.col(f"box.{k}") + 0.5).cast("bigint").cast("string") for k in "xywh"]
+    line = F.concat(F.lit("["), F.concat_ws(",", quoted("hit_id"), quoted("cls"), quoted("method"), *sides), F.lit("]"))
+    order = F.concat_ws(",", "hit_id", "cls", "method", *sides)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), line.alias("v")))), lambda r: r["v"])
+    rows = entries.withColumn("_f", frame_hash).groupBy(*by).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("_c"), F.max("_f").alias("_f"))
+    hexed = lambda n: F.lower(F.lpad(F.hex(n), 8, "0"))
+    whole = F.concat("_c", "_f")
+    return rows.select(*by, F.concat(hexed(_folded(whole, 0x811C9DC5, 0x01000193)), hexed(_folded(whole, 0x01000193, 0x85EBCA6B)), hexed(F.length("_c"))).alias("signature"))
 
 
 def noisy_counts(counts: DataFrame, session: str, epsilon: float = 1.0, n: str = "shown", key: str = "cls") -> DataFrame:

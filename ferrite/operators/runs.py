@@ -136,3 +136,30 @@ def restore_ring(spark: SparkSession, path: str, t: str, order: str, size: int =
     from .events import ring
 
     return ring(spark.read.parquet(path).where("text IS NOT NULL"), t, order, size)
+
+
+def plan_outcomes(steps: DataFrame, plan: str, order: str, cap: int = 20) -> DataFrame:
+    """(plan, ok, executed, halted, failed, stopped_at, capped) of plans run step by step.
+
+    steps: action, and what came of it: approved (a human's answer to ask_user), ok (the page's answer), needs_confirm (the
+    page wants a human first), confirmed (that answer) and retry_ok (the one retry after it). ``none`` ends a plan, waits
+    always pass; a decline or a failure stops it.
+    """
+    w = Window.partitionBy(plan)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = steps.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    asks, waits = F.col("action") == "ask_user", F.col("action") == "wait_for"
+    declined = (asks & ~yes("approved")) | (yes("needs_confirm") & ~yes("confirmed"))
+    done = F.when(yes("needs_confirm"), yes("retry_ok")).otherwise(yes("ok"))
+    what = F.when(F.col("_i") >= cap, "beyond").when(F.col("action") == "none", "end").when(waits, "wait").when(asks & ~yes("approved"), "declined").when(declined, "declined").when(done, "executed").otherwise("failed")
+    rows = rows.withColumn("_what", what).withColumn("_halts", F.when(waits | (F.col("action") == "none"), 0).otherwise(asks.cast("int") + (yes("needs_confirm") & (~asks | yes("approved"))).cast("int")))
+    stop = F.min(F.when(F.col("_what").isin("end", "declined", "failed"), F.col("_i"))).over(w)
+    rows = rows.withColumn("_stop", stop).where(F.col("_i") <= F.coalesce("_stop", F.lit(cap - 1)))
+    return rows.groupBy(plan).agg(
+        (F.count_if(F.col("_what").isin("declined", "failed")) == 0).alias("ok"),
+        F.count_if(F.col("_what") == "executed").alias("executed"),
+        F.sum("_halts").alias("halted"),
+        F.count_if(F.col("_what") == "failed").alias("failed"),
+        F.max("_stop").cast("bigint").alias("stopped_at"),
+        (F.max("_n") > cap).alias("capped"),
+    )

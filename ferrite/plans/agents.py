@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import small
 from ..operators import elements, evaluate, events, frames, policy, reports, rules, runs, screen
-from ..sources import html, synthetic, wire
+from ..sources import html, synthetic, validate, wire
 from . import fixtures, sql
 from .sql import EVENTS, SPANS, _lit, _values
 
@@ -301,6 +302,37 @@ def escalations(spark, d):
     return runs.escalate(plans, policy.plan_problems(steps, nodes))
 
 
+@query
+def plan_outcomes(spark, d):
+    """Each user's events as the steps of a plan."""
+    cents = F.floor(F.col("value") * 100).cast("bigint")
+    action = F.create_map(*[F.lit(x) for kv in {"signup": "ask_user", "error": "wait_for"}.items() for x in kv])[F.col("event_type")]
+    steps = _t(spark, d, "events").select(F.floor(F.col("event_id") / 7).alias("plan"), "event_id", F.when(cents % 29 == 0, "none").otherwise(F.coalesce(action, F.lit("click"))).alias("action"), (cents % 5 > 0).alias("approved"), (cents % 11 > 0).alias("ok"), (cents % 7 == 0).alias("needs_confirm"), (cents % 3 > 0).alias("confirmed"), (cents % 2 == 0).alias("retry_ok"))
+    return runs.plan_outcomes(steps, "plan", "event_id", 5)
+
+
+@query
+def capture_modes(spark, d):
+    k = F.col("p_partkey")
+    m = small.capture_mode(k % 2 == 0, k % 3 > 0, k % 5 > 1, k % 7 > 2, F.col("p_size") > 20)
+    return _t(spark, d, "part").select("p_partkey", m["mode"].alias("mode"), m["crop"].alias("crop"))
+
+
+@query
+def tile_checks(spark, d):
+    k = F.col("p_partkey")
+    rows = _t(spark, d, "part").select("p_partkey", F.when(k % 11 > 0, k % 50).alias("x"), (k % 40).alias("y"), (k % 5).alias("w"), (k % 7 - 1).alias("h"), F.when(k % 13 > 0, "AA==").alias("b64"))
+    return validate.tiles(rows).select("p_partkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def step_checks(spark, d):
+    k = F.col("p_partkey")
+    one = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    rows = _t(spark, d, "part").select("p_partkey", one("click", "fill", "dance", None).alias("action"), (k % 9 - 1).alias("mark"), F.col("p_name").alias("selector"), F.repeat("p_name", 8).alias("role"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("value"), F.lit("x").alias("text"), F.lit("").alias("url"), one("up", None, "sideways").alias("direction"), F.lit(1.5).alias("amount"), F.repeat("p_type", 30).alias("reason"), (F.col("p_size") / 40).alias("confidence"))
+    return validate.steps(rows).select("p_partkey", F.array_join("errors", ",").alias("errors"))
+
+
 _ORDERED = "(PARTITION BY user_id ORDER BY t, event_id)"
 ORACLE |= {
     "stage_deadlines": f"""WITH RECURSIVE {EVENTS}, k AS (SELECT user_id, event_id, t, CASE event_type WHEN 'view' THEN 'begin' WHEN 'click' THEN 'end' WHEN 'signup' THEN 'forget' END AS kind FROM e),
@@ -325,6 +357,18 @@ SELECT b.user_id AS run, started, coalesce(arg_max(e.event_id::VARCHAR, struct_p
     "request_status": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 409 WHEN p_partkey % 3 > 0 AND p_partkey % 2 > 0 AND p_size % 4 = 0 THEN 400 WHEN p_size % 4 > 0 AND p_partkey % 2 > 0 AND p_partkey % 5 = 0 THEN 409 ELSE 200 END AS status FROM part",
     "bytes_ledger": "SELECT user_id, CAST(coalesce(sum(floor(value)::BIGINT) FILTER (event_type <> 'error'), 0) AS BIGINT) AS bytes_sent, count(*) FILTER (event_type <> 'error') AS n_sent, count(*) FILTER (event_type = 'error') AS n_aborted FROM events GROUP BY user_id",
     "request_log": "SELECT conv_id, turn, right('session-' || conv_id, 8) AS session, substr(sha256(text), 1, 12) AS prompt, substr(sha256(role), 1, 12) AS frame, CAST(length(coalesce(text, '')) AS INTEGER) AS bytes_out, CAST(length(coalesce(role, '')) AS INTEGER) AS bytes_in FROM conversations",
+    "plan_outcomes": """WITH RECURSIVE c AS (SELECT event_id // 7 AS plan, event_id, CAST(floor(value * 100) AS BIGINT) AS c, event_type FROM events),
+s AS (SELECT plan, row_number() OVER (PARTITION BY plan ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY plan) AS n, CASE WHEN c % 29 = 0 THEN 'none' WHEN event_type = 'signup' THEN 'ask_user' WHEN event_type = 'error' THEN 'wait_for' ELSE 'click' END AS a, c % 5 > 0 AS ap, c % 11 > 0 AS ok, c % 7 = 0 AS nc, c % 3 > 0 AS cf, c % 2 = 0 AS ro FROM c),
+r AS (SELECT DISTINCT plan, -1::BIGINT AS i, 0 AS executed, 0 AS halted, 0 AS failed, NULL::BIGINT AS stopped_at, true AS good FROM s
+  UNION ALL SELECT s.plan, s.i, executed + CASE WHEN a IN ('none', 'wait_for') OR (a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) THEN 0 WHEN CASE WHEN nc THEN ro ELSE ok END THEN 1 ELSE 0 END,
+    halted + CASE WHEN a IN ('none', 'wait_for') THEN 0 ELSE CASE WHEN a = 'ask_user' THEN 1 ELSE 0 END + CASE WHEN nc AND NOT (a = 'ask_user' AND NOT ap) THEN 1 ELSE 0 END END,
+    failed + CASE WHEN a IN ('none', 'wait_for') OR (a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) THEN 0 WHEN CASE WHEN nc THEN ro ELSE ok END THEN 0 ELSE 1 END,
+    CASE WHEN a = 'wait_for' THEN NULL WHEN a = 'none' OR (a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) OR NOT CASE WHEN nc THEN ro ELSE ok END THEN s.i END, a IN ('none', 'wait_for') OR NOT ((a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) OR NOT CASE WHEN nc THEN ro ELSE ok END)
+  FROM r JOIN s ON s.plan = r.plan AND s.i = r.i + 1 WHERE r.stopped_at IS NULL AND s.i < 5)
+SELECT r.plan AS plan, bool_and(good) AS ok, CAST(max(executed) AS BIGINT) AS executed, CAST(max(halted) AS BIGINT) AS halted, CAST(max(failed) AS BIGINT) AS failed, max(stopped_at) AS stopped_at, any_value(n) > 5 AS capped FROM r JOIN (SELECT DISTINCT plan, n FROM s) USING (plan) GROUP BY r.plan""",
+    "tile_checks": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'x' END, CASE WHEN p_partkey % 5 = 0 THEN 'w' END, CASE WHEN p_partkey % 7 < 2 THEN 'h' END, CASE WHEN p_partkey % 13 = 0 THEN 'b64' END) AS errors FROM part",
+    "step_checks": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 > 1 THEN 'action' END, CASE WHEN p_partkey % 9 = 0 THEN 'mark' END, CASE WHEN length(p_name) > 500 THEN 'selector' END, CASE WHEN 8 * length(p_name) > 100 THEN 'role' END, CASE WHEN length(p_type) > 200 THEN 'name' END, CASE WHEN 30 * length(p_type) > 500 THEN 'reason' END, CASE WHEN p_partkey % 3 = 2 THEN 'direction' END, CASE WHEN p_size > 40 THEN 'confidence' END) AS errors FROM part",
+    "capture_modes": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 > 1 THEN 'stream' WHEN p_partkey % 3 > 0 THEN 'snapshot' ELSE 'pixel-only' END AS mode, p_partkey % 2 = 0 AND p_partkey % 5 > 1 AND p_partkey % 7 > 2 AND p_size > 20 AS crop FROM part",
     "escalations": f"""WITH pl(plan_id, confidence, exhausted, parse_error) AS ({_values(fixtures.PLANS)}), found AS ({sql.ORACLE['plan_check']}), l AS (SELECT plan_id, list('step ' || step_idx || ': ' || problem ORDER BY step_idx, problem) AS p FROM found GROUP BY plan_id),
 r AS (SELECT pl.*, list_concat(list_filter([CASE WHEN confidence < 0.55 THEN 'low confidence' END, CASE WHEN exhausted THEN 'attempts used up' END], lambda x: x IS NOT NULL), coalesce(p, [])) AS rs FROM pl LEFT JOIN l USING (plan_id))
 SELECT CAST(plan_id AS BIGINT) AS plan_id, CASE WHEN parse_error IS NULL THEN len(rs) > 0 ELSE contains(parse_error, 'destructive verb') END AS ask, CAST(CASE WHEN contains(parse_error, 'destructive verb') THEN 0.0 ELSE confidence END AS DOUBLE) AS confidence, CASE WHEN parse_error IS NULL AND len(rs) > 0 THEN array_to_string(rs, '; ') WHEN contains(parse_error, 'destructive verb') THEN parse_error END AS reason FROM r""",

@@ -440,7 +440,8 @@ def device_tiers(spark, d):
 @query
 def manifest_signature(spark, d):
     hits = _hits(spark, d).withColumn("hit_id", F.concat_ws(":", F.lpad(F.col("start").cast("string"), 9, "0"), "end")).withColumn("method", elements.redaction_method(F.col("cls"), F.lit(True)))
-    return reports.sign(hits, "doc_id")
+    box = F.struct(F.col("start").cast("double").alias("x"), F.lit(0.2).alias("y"), ((F.col("end") - F.col("start")) * 8.0).alias("w"), F.lit(15.5).alias("h"))
+    return reports.sign(hits.withColumn("box", box), F.lit("frame-1"), "doc_id")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import elements, evaluate, policy, redaction, rules
+from ..functions import small
 from . import fixtures
 
 
@@ -218,15 +219,17 @@ SELECT user_id, event_id FROM w WHERE took""",
     "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "latency_percentiles_ref": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (k = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95 FROM r GROUP BY event_type",
     "plan_stop_index": "WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, event_type IN ('purchase', 'logout', 'error') AND value > 50 AS stop FROM events), g AS (SELECT user_id, count(*) AS n_steps, min(idx) FILTER (stop) AS stop_at FROM s GROUP BY user_id) SELECT user_id, n_steps, stop_at, least(coalesce(stop_at + 1, n_steps), 20) AS n_run FROM g",
-    "clamp_lines": r"""WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\s*\n\s*', ' ⏎ ', 'g'), ' ') AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 500 THEN substr(x, 1, 499) || '…' ELSE x END AS line FROM l""",
+    "clamp_lines": f"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[{small.WHITE}]*\n[{small.WHITE}]*', ' ⏎ ', 'g'), '^[{small.WHITE}]+|[{small.WHITE}]+$', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 500 THEN substr(x, 1, 499) || '…' ELSE x END AS line FROM l""",
     "capped_sizes": """WITH s AS (SELECT p_partkey, p_size, p_partkey * 7 % 3000 + 1 AS w0, p_partkey * 11 % 2000 + 1 AS h0 FROM part), c AS (SELECT *, CASE WHEN greatest(w0, h0) <= 1280 THEN 1.0::DOUBLE ELSE 1280.0::DOUBLE / greatest(w0, h0) END AS k FROM s)
 SELECT p_partkey, CAST(floor(w0 * k + 0.5) AS INTEGER) AS w, CAST(floor(h0 * k + 0.5) AS INTEGER) AS h, round(k, 6) AS scale, p_size > 1 AND w0 < h0 AS tiles FROM c""",
     "device_tiers": """WITH s AS (SELECT p_partkey, p_size % 9 AS ram, p_partkey * 97 % 3000 AS vram, p_partkey % 13 + 1 AS threads, p_partkey % 3 > 0 AS gpu, p_partkey % 2 = 0 AS isolated FROM part),
 t AS (SELECT *, CASE WHEN ram <> 0 AND ram < 2 AND threads < 4 THEN 'minimal' WHEN gpu AND vram > 0 AND vram < 512 THEN 'reduced' ELSE 'full' END AS tier, CASE WHEN isolated THEN greatest(threads - 1, 1) ELSE 1 END AS usable FROM s)
 SELECT p_partkey, tier, CASE WHEN tier <> 'full' THEN 0 WHEN NOT gpu THEN CASE WHEN usable >= 4 THEN 8 WHEN usable >= 2 THEN 4 ELSE 2 END WHEN vram >= 2048 THEN 16 WHEN vram >= 1024 THEN 8 ELSE 4 END AS batch,
  tier = 'full' AS can_l2, tier <> 'minimal' AS can_l3, tier = 'full' AND gpu AND vram >= 2048 AS can_audit, CASE WHEN tier = 'minimal' THEN 'ram' WHEN gpu THEN 'vram' WHEN isolated THEN 'threads' ELSE 'unknown' END AS bottleneck FROM t""",
-    "manifest_signature": f"""WITH {HITS}, l AS (SELECT doc_id, lpad(s::VARCHAR, 9, '0') || ':' || e || '|' || cls || '|solid_fill' AS x FROM kept), t AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY x) AS t FROM l GROUP BY doc_id)
-SELECT doc_id, {_fnv('t')} || lpad(lower(to_hex(length(t))), 8, '0') AS fingerprint, sha256(t) AS sha256 FROM t""",
+    "manifest_signature": f"""WITH {HITS}, l AS (SELECT doc_id, lpad(s::VARCHAR, 9, '0') || ':' || e AS id, cls, s, CAST((e - s) * 8 AS BIGINT) AS w FROM kept),
+c AS (SELECT doc_id, '[' || string_agg('["' || id || '","' || cls || '","solid_fill",' || s || ',0,' || w || ',16]', ',' ORDER BY id || ',' || cls || ',solid_fill,' || s || ',0,' || w || ',16') || ']' AS c FROM l GROUP BY doc_id),
+u AS (SELECT doc_id, c, list_transform(string_split(c || 'frame-1', ''), lambda x: unicode(x)::HUGEINT) AS u FROM c)
+SELECT doc_id, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, u), lambda h, x: (xor(h, x) * 16777619) & 4294967295)::BIGINT)), 8, '0') || lpad(lower(to_hex(list_reduce(list_prepend(16777619::HUGEINT, u), lambda h, x: (xor(h, x) * 2246822507) & 4294967295)::BIGINT)), 8, '0') || lpad(lower(to_hex(length(c))), 8, '0') AS signature FROM u""",
     "manifest_summary": f"WITH {HITS}, c AS (SELECT cls, count(*) AS n FROM kept GROUP BY cls) SELECT 'HIDDEN: ' || CAST(sum(n) AS BIGINT) || ' item(s) in ' || count(*) || ' class(es)' || chr(10) || string_agg('  ' || cls || ': ' || n, chr(10) ORDER BY cls) AS summary FROM c",
     "box_metrics": f"WITH {BOXES}, i AS (SELECT p_partkey, {_W} * {_H} / (w0 * h0 + w1 * h1 - {_W} * {_H}) AS iou FROM b) SELECT p_brand, count(*) AS n, round(avg(iou), 6) AS mean_iou, count(*) FILTER (iou > 0.001) AS touched, count(*) FILTER (iou >= 0.5) AS half, count(*) FILTER (iou >= 0.8) AS most, count(*) FILTER (iou <= 0.001) AS leaked FROM i JOIN part USING (p_partkey) GROUP BY p_brand",
     "grounding_report": f"WITH s(plan_id, step_idx, action, mark, value, reason) AS ({_values(fixtures.STEPS)}), n(plan_id, mark, label, sensitive) AS ({_values(fixtures.NODES)}) SELECT CAST(s.plan_id AS BIGINT) AS plan_id, count(*) AS n_steps, count(n.mark) AS used, count(*) FILTER (s.mark IS NOT NULL AND n.mark IS NULL) AS invented FROM s LEFT JOIN n ON n.plan_id = s.plan_id AND n.mark = s.mark GROUP BY s.plan_id",

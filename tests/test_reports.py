@@ -1,3 +1,6 @@
+import json
+import math
+
 from pyspark.sql import functions as F
 
 from ferrite.functions import small
@@ -29,8 +32,15 @@ def test_manifest_and_signature(spark):
     hits = spark.createDataFrame([(1, "a", "EMAIL", "x@y.example.org", (1.0, 1.0, 0.4, 9.0)), (1, "b", "FACE", "", None)], f"page int, hit_id string, cls string, text string, box {box}")
     rows = {r.hit_id: r for r in reports.build_manifest(hits, 2.0, "s").collect()}
     assert rows["a"].box.w == 2.0 and rows["a"].box.h == 18.0 and rows["a"].method == "solid_fill" and rows["b"].method == "pixelate"
-    signed = reports.sign(reports.build_manifest(hits, 2.0, "s"), "page").first()
-    assert len(signed.fingerprint) == 16 and signed.fingerprint != reports.sign(reports.build_manifest(hits.limit(1), 2.0, "s"), "page").first().fingerprint
+    boxed = spark.createDataFrame([(1, "a", "EMAIL", "x", (1.2, 1.0, 0.4, 9.0)), (1, "b", "FACE", "", (7.0, 3.0, 20.0, 9.0)), (1, 'q"', "PAN", "", (7.0, 3.0, 20.0, 9.0))], hits.schema)
+    entries = reports.build_manifest(boxed, 2.0, "s")
+    signed = reports.sign(entries, F.lit("frame"), "page").first().signature
+    rows = sorted(([e.hit_id, e.cls, e.method, *(math.floor(e.box[k] + 0.5) for k in "xywh")] for e in entries.collect()), key=lambda r: ",".join(map(str, r)))
+    text = json.dumps(rows, separators=(",", ":"))
+    h1, h2 = 0x811C9DC5, 0x01000193
+    for c in text + "frame":
+        h1, h2 = (h1 ^ ord(c)) * 0x01000193 % 2**32, (h2 ^ ord(c)) * 0x85EBCA6B % 2**32
+    assert signed == f"{h1:08x}{h2:08x}{len(text):08x}"
     assert reports.render(redaction.manifest(hits.limit(0))).first()[0] == "HIDDEN: 0 item(s) in 0 class(es)"
 
 

@@ -74,6 +74,22 @@ def test_validation_splits(spark):
     assert sorted(len(r.errors) for r in bad.collect()) == [4, 5]
 
 
+def test_validation_of_each_shape(spark):
+    box = "struct<x:double,y:double,w:double,h:double>"
+    fine, flat = (0.0, 1.0, 2.0, 0.0), (0.0, float("nan"), 2.0, 0.0)
+    shapes = {
+        "redactions": (f"id string, box {box}, cls string, token string, method string, score double, source string, pixel_derived boolean", ("a", fine, "PAN", "[PAN_A1_0f]", "solid_fill", 1.0, "L1", False), ("", flat, "X", "[pan]", "blur", 1.1, "L4", None), 8),
+        "manifests": ("schema_version string, session_id string, frame_hash string, signature string, l2_ner string, l3_face string, l3_text string, runtime string", ("1", "session-1", "0" * 16, "f" * 16, "a", "b", "c", "d"), ("", "s", "xyz", "f", None, None, None, None), 8),
+        "nodes": (f"id string, role string, label string, value string, value_class string, bbox {box}, mark int, actions array<string>", ("a", "link", None, None, "public", None, 0, ["click"]), ("", "", "x" * 201, "x" * 201, "secret", flat, -1, ["jump"]), 8),
+        "plans": ("schema_version string, session_id string, n_steps int, confidence double, needs array<string>", ("1", "session-1", 1, 0.0, []), (None, "s", 0, 2.0, ["x" * 301]), 5),
+        "requests": ("schema_version string, session_id string, intent string, turn int, tier string", ("1", "session-1", "do it", None, None), ("", "s", "x" * 2001, -1, "T9"), 5),
+        "verdicts": ("ok boolean, reasons array<string>, covered int, uncovered int, frame_hash string", (True, [], 0, 0, "a" * 64), (None, None, -1, -1, "a" * 65), 5),
+    }
+    for name, (schema, good, bad, n) in shapes.items():
+        rows = getattr(validate, name)(spark.createDataFrame([good, bad], schema)).collect()
+        assert rows[0].errors == [] and len(rows[1].errors) == n, name
+
+
 def _stream(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
     return spark.readStream.schema(schema).parquet(str(path))
