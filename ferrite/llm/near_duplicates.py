@@ -154,12 +154,16 @@ def features(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "te
 
 
 def buckets_of(representatives: DataFrame) -> DataFrame:
-    """The written table (bucket, centre, rep, n) of (rep, n, keys): members of buckets of two or more, centres included."""
+    """The written table (bucket, centre, rep, low, high) of (rep, n, keys): members of buckets of two or more, centres included.
+
+    ``centre`` is a struct of the bucket's least rep, and low and high are the sizes of a rep's sets: equal, but for rows that
+    share a doc_id.
+    """
     # Rows of one doc_id share its rep: each rep is one member, or a pair of them would cancel in the xor.
-    rows = representatives.select("rep", "n", F.explode("keys").alias("bucket")).groupBy("rep", "bucket").agg(F.max("n").alias("n"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
+    rows = representatives.select("rep", "n", F.explode("keys").alias("bucket")).groupBy("rep", "bucket").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "low", "high")).alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
     buckets = common.materialise(sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("centre").alias("centre")).select("bucket", "centre"), "buckets")
-    return common.materialise(rows.join(buckets, "bucket").select("bucket", "centre", "rep", "n"), "members")
+    return common.materialise(rows.join(buckets, "bucket").select("bucket", "centre", "rep", "low", "high"), "members")
 
 
 def wanted_bitmap(reps: DataFrame, bits: int) -> np.ndarray:
@@ -211,7 +215,10 @@ def _parts(count: Column, n: Column) -> Column:
 
 def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of buckets and their centres, where linked."""
-    spokes = common.materialise(members.where("rep <> centre").groupBy("centre", "rep").agg(F.max("n").alias("n")), "spokes")
+    # Sets whose sizes are too far apart can't be linked, whatever they hold.
+    close = (100 * F.col("centre.high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("centre.low"))
+    spokes = members.where((F.col("rep") != F.col("centre.rep")) & close).groupBy(F.col("centre.rep").alias("centre"), "rep").agg(F.max("high").alias("n"))
+    spokes = common.materialise(spokes, "spokes")
     wheels = common.materialise(spokes.groupBy("centre").agg(_parts(F.count("*"), F.sum("n")).alias("parts")), "wheels")
     ends = spokes.join(wheels, "centre").select("centre", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
     hubs = wheels.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("rep"))
@@ -238,7 +245,9 @@ def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def cells(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, i, j, rep, label): where members meet that may still be linked across components."""
-    known = members.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    # Centres have met all members of their buckets.
+    rest = members.where(F.col("rep") != F.col("centre.rep"))
+    known = rest.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.col("high").alias("n"), F.coalesce("root", "rep").alias("label"))
     known = common.materialise(known, "labelled-members")
     by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     shape = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "n", "label")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("labels > 1")
