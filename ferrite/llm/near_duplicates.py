@@ -337,7 +337,7 @@ def group(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "
     more = common.materialise(confirm(cells(members, roots), sets, percent), "cell-links")
     if not more.isEmpty():
         roots = common.materialise(connect(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-    common.discard(sets)
+    common.discard(seen, classes, members, sets, several, more)
     out = placed.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
