@@ -375,6 +375,26 @@ SELECT CAST(plan_id AS BIGINT) AS plan_id, CASE WHEN parse_error IS NULL THEN le
 }
 
 
+@query
+def conversation_findings(spark, d):
+    """The first findings of each conversation, the fixture's lines as one of their own."""
+    lines = spark.createDataFrame(fixtures.INJECTIONS, "turn bigint, text string").select(F.lit(-1).cast("bigint").alias("conv_id"), "turn", "text")
+    return policy.page_findings(lines.unionByName(_t(spark, d, "conversations").select("conv_id", "turn", "text")), "conv_id", "turn").select("conv_id", F.col("n").cast("bigint").alias("n"), "kind", F.col("match").alias("matched"))
+
+
+@query
+def provider_streams(spark, d):
+    rows = spark.createDataFrame(fixtures.CHUNKS, "id bigint, raw string").withColumn("r", wire.provider_chunks(F.col("raw")))
+    return rows.select("id", "r.content", "r.filtered")
+
+
+ORACLE |= {
+    "conversation_findings": f"WITH c AS (SELECT -1 AS conv_id, turn, text FROM ({_values(fixtures.INJECTIONS)}) v(turn, text) UNION ALL SELECT conv_id, turn, text FROM conversations), o AS (SELECT *, row_number() OVER () AS id FROM c), lines AS (SELECT id, text FROM o), f AS ({sql.INJECTED}), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS r FROM f), j AS (SELECT conv_id, kind, matched, row_number() OVER (PARTITION BY conv_id ORDER BY turn, r) AS q FROM k JOIN o USING (id) WHERE r <= 5) SELECT CAST(conv_id AS BIGINT) AS conv_id, q AS n, kind, matched FROM j WHERE q <= 5",
+    "provider_streams": f"""WITH v(id, raw) AS ({_values(fixtures.CHUNKS)}), l AS (SELECT id, list_filter(list_transform(list_filter(string_split(replace(raw, chr(13), ''), chr(10)), lambda x: starts_with(trim(x), 'data:')), lambda x: trim(substr(trim(x), 6))), lambda x: json_valid(x)) AS l FROM v)
+SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_filter(list_transform(l, lambda x: json_extract_string(x, '$.choices[0].delta.content')), lambda c: c IS NOT NULL), ''), '') AS content, len(list_filter(l, lambda x: coalesce(json_extract_string(x, '$.choices[0].finish_reason') = 'content_filter', false))) > 0 AS filtered FROM l""",
+}
+
+
 # -- reports
 
 

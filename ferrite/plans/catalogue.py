@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import checksums, small
 from ..operators import elements, evaluate, events, frames, policy, redaction, reports, rules, spans
 from ..sources import html, wire
-from . import agents, fixtures, sql
+from . import agents, fixtures, scalars, sql
 
-QUERIES: dict = dict(agents.QUERIES)
-ORACLE: dict[str, str] = sql.ORACLE | agents.ORACLE
+QUERIES: dict = agents.QUERIES | scalars.QUERIES
+ORACLE: dict[str, str] = sql.ORACLE | agents.ORACLE | scalars.ORACLE
 SESSION = "session-0001"
 
 

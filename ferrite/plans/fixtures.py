@@ -76,3 +76,8 @@ TASKS = [("click", "T0", ["visible"]), ("click", "T1", ["destructive_confirmed",
 MODEL_ANSWERS = [
     (1, '[{"entity":"B-PERSON","score":0.9,"word":"Ann"},{"entity":"O","score":0.8,"word":"x"}]'), (2, '[[{"entity":"B-AGE","score":0.5,"word":"7"}],[],[{"entity":"O","score":0.4,"word":"y"}]]'), (3, "[]"), (4, " [ [ ] ] "),
 ]
+#: id, a provider's stream
+CHUNKS = [
+    (1, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {"choices":[{"delta":{"content":"b c"},"finish_reason":"stop"}]}\ndata: [DONE]'),
+    (2, 'data: bad\n: beat\ndata: {"choices":[{"delta":{},"finish_reason":"content_filter"}]}\n'), (3, ""), (4, 'data: {"choices":[{"delta":{"content":""}}]}\r\ndata: {"choices":[{"delta":{"content":"z"}}]}\r\n'),
+]
