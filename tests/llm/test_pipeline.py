@@ -28,7 +28,8 @@ def test_stages(spark):
             want = {i: kept[i] for i, _, _, stays in brute_groups(list(kept.items()), 80) if stays}
         elif name == "benchmark decontamination":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            want = {i: t for i, t in kept.items() if i not in {d for d, _ in brute_leaks(list(kept.items()), bench)}}
+            leaks = {d for d, _ in brute_leaks(list(kept.items()), bench)}
+            want = {i: t for i, t in kept.items() if i not in leaks}
         elif name == "personal data":
             assert all(r.n_chars == len(r.text) for r in rows)
             assert {r.doc_id for r in rows} == set(kept)
