@@ -308,7 +308,7 @@ def plan_outcomes(spark, d):
     cents = F.floor(F.col("value") * 100).cast("bigint")
     action = F.create_map(*[F.lit(x) for kv in {"signup": "ask_user", "error": "wait_for"}.items() for x in kv])[F.col("event_type")]
     steps = _t(spark, d, "events").select(F.floor(F.col("event_id") / 7).alias("plan"), "event_id", F.when(cents % 29 == 0, "none").otherwise(F.coalesce(action, F.lit("click"))).alias("action"), (cents % 5 > 0).alias("approved"), (cents % 11 > 0).alias("ok"), (cents % 7 == 0).alias("needs_confirm"), (cents % 3 > 0).alias("confirmed"), (cents % 2 == 0).alias("retry_ok"))
-    return runs.plan_outcomes(steps, "plan", "event_id", 5)
+    return runs.plan_outcomes(steps, "plan", "event_id", 5).withColumn("stopped_at", F.coalesce("stopped_at", F.lit(-1)))
 
 
 @query
@@ -365,7 +365,7 @@ r AS (SELECT DISTINCT plan, -1::BIGINT AS i, 0 AS executed, 0 AS halted, 0 AS fa
     failed + CASE WHEN a IN ('none', 'wait_for') OR (a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) THEN 0 WHEN CASE WHEN nc THEN ro ELSE ok END THEN 0 ELSE 1 END,
     CASE WHEN a = 'wait_for' THEN NULL WHEN a = 'none' OR (a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) OR NOT CASE WHEN nc THEN ro ELSE ok END THEN s.i END, a IN ('none', 'wait_for') OR NOT ((a = 'ask_user' AND NOT ap) OR (nc AND NOT cf) OR NOT CASE WHEN nc THEN ro ELSE ok END)
   FROM r JOIN s ON s.plan = r.plan AND s.i = r.i + 1 WHERE r.stopped_at IS NULL AND s.i < 5)
-SELECT r.plan AS plan, bool_and(good) AS ok, CAST(max(executed) AS BIGINT) AS executed, CAST(max(halted) AS BIGINT) AS halted, CAST(max(failed) AS BIGINT) AS failed, max(stopped_at) AS stopped_at, any_value(n) > 5 AS capped FROM r JOIN (SELECT DISTINCT plan, n FROM s) USING (plan) GROUP BY r.plan""",
+SELECT r.plan AS plan, bool_and(good) AS ok, CAST(max(executed) AS BIGINT) AS executed, CAST(max(halted) AS BIGINT) AS halted, CAST(max(failed) AS BIGINT) AS failed, CAST(coalesce(max(stopped_at), -1) AS BIGINT) AS stopped_at, any_value(n) > 5 AS capped FROM r JOIN (SELECT DISTINCT plan, n FROM s) USING (plan) GROUP BY r.plan""",
     "tile_checks": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'x' END, CASE WHEN p_partkey % 5 = 0 THEN 'w' END, CASE WHEN p_partkey % 7 < 2 THEN 'h' END, CASE WHEN p_partkey % 13 = 0 THEN 'b64' END) AS errors FROM part",
     "step_checks": "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 > 1 THEN 'action' END, CASE WHEN p_partkey % 9 = 0 THEN 'mark' END, CASE WHEN length(p_name) > 500 THEN 'selector' END, CASE WHEN 8 * length(p_name) > 100 THEN 'role' END, CASE WHEN length(p_type) > 200 THEN 'name' END, CASE WHEN 30 * length(p_type) > 500 THEN 'reason' END, CASE WHEN p_partkey % 3 = 2 THEN 'direction' END, CASE WHEN p_size > 40 THEN 'confidence' END) AS errors FROM part",
     "capture_modes": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 > 1 THEN 'stream' WHEN p_partkey % 3 > 0 THEN 'snapshot' ELSE 'pixel-only' END AS mode, p_partkey % 2 = 0 AND p_partkey % 5 > 1 AND p_partkey % 7 > 2 AND p_size > 20 AS crop FROM part",

@@ -110,7 +110,7 @@ def resolved_marks(spark, d):
     """Controls whose page changed: some are gone, some renamed, and each mark is looked for again."""
     p = _t(spark, d, "part").select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("mark"), F.col("p_name").alias("label"))
     live = p.where("node_id % 4 > 0").withColumn("label", F.when(F.col("node_id") % 3 == 0, F.concat(F.lit("new "), F.split("label", " ")[0])).otherwise(F.col("label")))
-    return frames.resolve_marks(p, live, "page").select("page", "mark", "status", "node")
+    return frames.resolve_marks(p, live, "page").select("page", "mark", "status", F.coalesce("node", F.lit(-1)).alias("node"))
 
 
 @query
@@ -155,7 +155,7 @@ s AS (SELECT p.page, p.node AS mark, l.node AS best, round({sql._jaccard('p.w',
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page, mark ORDER BY sim DESC, best) = 1),
 j AS (SELECT p.page, p.node AS mark, l.node AS live, {sql._jaccard('p.w', 'l.w')} AS own, b.best, b.sim FROM p LEFT JOIN l ON l.page = p.page AND l.node = p.node LEFT JOIN b ON b.page = p.page AND b.mark = p.node),
 z AS (SELECT *, CASE WHEN live IS NOT NULL AND own >= 0.99 THEN 'ok' WHEN sim >= 0.55 THEN 'reassigned' WHEN live IS NOT NULL AND own >= 0.34 THEN 'ok' ELSE 'lost' END AS status FROM j)
-SELECT page, mark, status, CASE status WHEN 'reassigned' THEN best WHEN 'ok' THEN mark END AS node FROM z""",
+SELECT page, mark, status, CAST(CASE status WHEN 'reassigned' THEN best WHEN 'ok' THEN mark ELSE -1 END AS BIGINT) AS node FROM z""",
     "luma_grid": "WITH i AS (SELECT l_orderkey % 16 AS frame, l_orderkey * 7 + l_linenumber AS i FROM lineitem), c AS (SELECT frame, (i // 64 % 64) // 16 * 4 + (i % 64) // 16 AS c, avg(0.299::DOUBLE * (i % 251) + 0.587::DOUBLE * (i % 241) + 0.114::DOUBLE * (i % 239)) AS v FROM i GROUP BY ALL) SELECT frame, count(*) AS n_cells, round(sum(round(v, 3)), 0) AS total FROM c GROUP BY frame",
     "manifest_entries": f"WITH {sql.TOKENS} SELECT doc_id, s AS hit_id, cls, 'solid_fill' AS method, token, floor(s * 0.5 + 0.5) AS x, 2.0::DOUBLE AS w, greatest(2.0, floor((e - s) * 0.5::DOUBLE + 0.5)) AS h FROM tok",
 }
