@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 HAMMING_CUT, MAD_CUT, CELL_CUT, TILE_SHARE = 2, 1.2, 6.0, 0.02
+#: Labels of up to this many words meet through subsets of their words, longer ones through their rarer words.
+SHORT_LABEL = 6
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
@@ -112,18 +114,54 @@ def label_similarity(a: Column, b: Column) -> Column:
     return F.when(none, F.when(F.lower(a) == F.lower(b), 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def _parts(words: Column) -> Column:
+    """All non-empty subsets of a short set of words; the single words of a longer one."""
+    subsets = F.aggregate(words, F.array(F.array().cast("array<string>")), lambda s, w: F.concat(s, F.transform(s, lambda x: F.concat(x, F.array(w)))))
+    return F.when(F.size(words) <= SHORT_LABEL, F.filter(subsets, lambda x: F.size(x) > 0)).otherwise(F.transform(words, lambda w: F.array(w)))
+
+
+def _first_two(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k <= 2").drop("_k")
+
+
 def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
     """(page, node_id, best_node, similarity): each wanted label's most similar live one on its page, itself excluded.
 
-    Candidates share at least one word, or are equal labels without words, by an equi-join, so no page pairs all its controls.
+    Candidates share at least one word, or are equal labels without words. Labels with the same words are one class, which
+    two nodes stand for, as one may be the node itself. Classes of up to ``SHORT_LABEL`` words meet in the subset that they
+    share: of all sets with that subset and one size only the least two nodes count, so neither copies nor frequent words
+    are paired. Where a longer class takes part, single words give a bound first, and the pairs that can still reach it are
+    found by the rarer words of the wanted label.
     """
     tokens = label_tokens(F.col("label"))
-    keys = F.when(F.size(tokens) == 0, F.array(F.concat(F.lit("="), F.lower("label")))).otherwise(tokens)
-    words = lambda df, n: df.select(page, F.col("node_id").alias(n), F.col("label").alias(n + "_label"), F.explode(keys).alias("word"))
-    pairs = words(wanted, "a").join(words(live, "b"), [page, "word"]).where("a <> b").select(page, "a", "b", "a_label", "b_label").distinct()
-    scored = pairs.withColumn("similarity", F.round(label_similarity(F.col("a_label"), F.col("b_label")), 6))
-    w = Window.partitionBy(page, "a").orderBy(F.col("similarity").desc(), "b")
-    return scored.withColumn("k", F.row_number().over(w)).where("k = 1").select(page, F.col("a").alias("node_id"), F.col("b").alias("best_node"), "similarity")
+    words = F.when(F.size(tokens) == 0, F.array(F.concat(F.lit("="), F.lower("label")))).otherwise(F.array_sort(tokens))
+    rows = lambda df: df.select(page, "node_id", words.alias("words")).where(F.col(page).isNotNull() & F.col("node_id").isNotNull() & F.col("words").isNotNull())
+    key, size = [page, "words"], F.size("words")
+
+    nodes = _first_two(rows(live).distinct().withColumnRenamed("node_id", "b"), key, "b")
+    asked = rows(wanted).select(*key).distinct()
+    index = nodes.select(page, F.explode(_parts(F.col("words"))).alias("part"), size.alias("m"), "b").distinct()
+    shared = asked.select(*key, F.explode(_parts(F.col("words"))).alias("part")).join(_first_two(index, [page, "part", "m"], "b"), [page, "part"])
+    similarity = F.round(F.size("part") / (size + F.col("m") - F.size("part")), 6).alias("similarity")
+    best = lambda df: _first_two(df.groupBy(*key, "b").agg(F.max("similarity").alias("similarity")), key, F.col("similarity").desc(), "b")
+    near = best(shared.select(*key, "b", similarity))
+
+    # A set that shares c words with a wanted one has one of all but its c - 1 most frequent words. Single words are done, and
+    # the second best so far asks for a share of the wanted words, rounding allowed for.
+    classes = nodes.groupBy(*key).agg(F.collect_list("b").alias("bs"))
+    of_live = classes.select(page, F.col("words").alias("other"), "bs", (size > SHORT_LABEL).alias("long"), F.explode("words").alias("word"))
+    bound = near.groupBy(*key).agg(F.when(F.count("*") == 2, F.min("similarity") - 1e-6).otherwise(0.0).alias("bound"))
+    heads = bound.select(*key, (size - F.greatest(F.lit(2), F.ceil(size * F.col("bound"))) + 1).alias("keep"), F.explode("words").alias("word"))
+    heads = heads.join(of_live.groupBy(page, "word").agg(F.count("*").alias("df")), [page, "word"], "left")
+    heads = heads.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("df", F.lit(0)), "word"))).where("k <= keep")
+    heads = heads.select(*key, "word", F.explode(F.when(size > SHORT_LABEL, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("long"))
+    pairs = heads.join(of_live, [page, "word", "long"]).select(*key, "other", "bs").distinct()
+    far = pairs.select(*key, F.explode("bs").alias("b"), F.round(F.size(F.array_intersect("words", "other")) / F.size(F.array_union("words", "other")), 6).alias("similarity"))
+
+    two = best(near.unionByName(far)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "b"))).alias("two"))
+    two = two.select(*key, F.get("two", F.lit(0)).alias("x0"), F.get("two", F.lit(1)).alias("x1"))
+    found = rows(wanted).join(two, key).select(page, "node_id", F.when(F.col("x0.b") != F.col("node_id"), F.col("x0")).otherwise(F.col("x1")).alias("x")).where("x IS NOT NULL")
+    return found.groupBy(page, "node_id").agg(F.min("x").alias("x")).select(page, "node_id", F.col("x.b").alias("best_node"), (-F.col("x.s")).alias("similarity"))
 
 
 def resolve_marks(assigned: DataFrame, live: DataFrame, page: str) -> DataFrame:
