@@ -61,3 +61,22 @@ def test_best_label_pairs_neither_copies_nor_a_frequent_word(spark):
     least = {0: (0, 1), 2: (2, 6), 3: (3, 7)}
     copies = {("copies", i, next(b for b in least[group(i)] if b != i), 1.0) for i in range(n)}
     assert set(map(tuple, got)) == copies | {("word", i, int(i == 0), 0.333333) for i in range(n)}
+
+
+def test_resolve_marks_of_many_copies(spark):
+    n = 40_000
+    before = spark.range(n).selectExpr("'p' AS page", "id AS node_id", "id AS mark", "elt(id % 4 + 1, 'red ring', 'old rod', 'hot bolt', 'new gear') AS label")
+    live = before.where("node_id % 5 > 0").selectExpr("page", "node_id", "CASE WHEN node_id % 4 = 0 THEN 'red' WHEN node_id % 4 = 3 THEN 'cold plate' ELSE label END AS label")
+    with at_most(spark, 90):
+        got = frames.resolve_marks(before, live, "page").collect()
+
+    def want(i):
+        gone, kind = i % 5 == 0, i % 4
+        if kind == 0:
+            return ("lost", None) if gone else ("ok", i)
+        if kind == 3:
+            return "lost", None
+        return ("reassigned", {1: 1, 2: 2}[kind]) if gone else ("ok", i)
+
+    assert {(r.mark, r.status, r.node) for r in got} == {(i, *want(i)) for i in range(n)}
+    assert len(got) == n
