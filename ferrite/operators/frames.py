@@ -103,13 +103,12 @@ def marks(controls: DataFrame, page: str, order: str, band: int = 24) -> DataFra
 
 
 def label_tokens(label: Column) -> Column:
-    plain = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N} ]", " ")
-    return F.array_distinct(F.filter(F.split(plain, " +"), lambda t: F.length(t) > 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(label), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))
 
 
-def label_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two labels' words; if either has none, 1 for equal labels and else 0."""
-    x, y = label_tokens(a), label_tokens(b)
+def label_similarity(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
+    """Jaccard similarity of two labels' words, ``x`` and ``y`` if known; if either has none, 1 for equal labels and else 0."""
+    x, y = label_tokens(a) if x is None else x, label_tokens(b) if y is None else y
     none = (F.size(x) == 0) | (F.size(y) == 0)
     return F.when(none, F.when(F.lower(a) == F.lower(b), 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
@@ -121,11 +120,16 @@ def _parts(words: Column) -> Column:
 
 
 def _first_two(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k <= 2").drop("_k")
+    """Rows of the first two places in order, all that share one, with their place ``_k``."""
+    return rows.withColumn("_k", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))).where("_k <= 2")
 
 
-def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
-    """(page, node_id, best_node, similarity): each wanted label's most similar live one on its page, itself excluded.
+def _named(df: DataFrame, page: str) -> DataFrame:
+    return df.select(page, "node_id", "label").where(F.col(page).isNotNull() & F.col("node_id").isNotNull() & F.col("label").isNotNull())
+
+
+def _best_two(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
+    """(page, label, x0, x1): for each wanted label the two most similar live nodes b, best first, s being the similarity below zero.
 
     Candidates share at least one word, or are equal labels without words. Labels with the same words are one class, which
     two nodes stand for, as one may be the node itself. Classes of up to ``SHORT_LABEL`` words meet in the subset that they
@@ -134,16 +138,20 @@ def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
     found by the rarer words of the wanted label.
     """
     tokens = label_tokens(F.col("label"))
-    words = F.when(F.size(tokens) == 0, F.array(F.concat(F.lit("="), F.lower("label")))).otherwise(F.array_sort(tokens))
-    rows = lambda df: df.select(page, "node_id", words.alias("words")).where(F.col(page).isNotNull() & F.col("node_id").isNotNull() & F.col("words").isNotNull())
+    words = F.when(F.size(tokens) == 0, F.array(F.concat(F.lit("="), F.lower("label")))).otherwise(F.sort_array(tokens))
     key, size = [page, "words"], F.size("words")
 
-    nodes = _first_two(rows(live).distinct().withColumnRenamed("node_id", "b"), key, "b")
-    asked = rows(wanted).select(*key).distinct()
-    index = nodes.select(page, F.explode(_parts(F.col("words"))).alias("part"), size.alias("m"), "b").distinct()
-    shared = asked.select(*key, F.explode(_parts(F.col("words"))).alias("part")).join(_first_two(index, [page, "part", "m"], "b"), [page, "part"])
+    # Equal labels meet first, so that only different ones are taken apart. Words depend on a value of the group, always
+    # true, or what the joins below ask of them would be moved down and worked out for every row of every scan.
+    least = _first_two(_named(live, page), [page, "label"], "node_id").select(page, F.when(F.col("_k") > 0, words).alias("words"), F.col("node_id").alias("b"))
+    nodes = _first_two(least, key, "b").select(*key, "b").distinct()
+    labels = _named(wanted, page).groupBy(page, "label").agg(F.count("*").alias("_n")).select(page, "label", F.when(F.col("_n") > 0, words).alias("words"))
+    asked = labels.select(*key).distinct()
+    index = nodes.select(page, F.explode(_parts(F.col("words"))).alias("part"), size.alias("m"), "b")
+    index = _first_two(index, [page, "part", "m"], "b").select(page, "part", "m", "b").distinct()
+    shared = asked.select(*key, F.explode(_parts(F.col("words"))).alias("part")).join(index, [page, "part"])
     similarity = F.round(F.size("part") / (size + F.col("m") - F.size("part")), 6).alias("similarity")
-    best = lambda df: _first_two(df.groupBy(*key, "b").agg(F.max("similarity").alias("similarity")), key, F.col("similarity").desc(), "b")
+    best = lambda df: _first_two(df.groupBy(*key, "b").agg(F.max("similarity").alias("similarity")), key, F.col("similarity").desc(), "b").drop("_k")
     near = best(shared.select(*key, "b", similarity))
 
     # A set that shares c words with a wanted one has one of all but its c - 1 most frequent words. Single words are done, and
@@ -159,18 +167,35 @@ def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
     far = pairs.select(*key, F.explode("bs").alias("b"), F.round(F.size(F.array_intersect("words", "other")) / F.size(F.array_union("words", "other")), 6).alias("similarity"))
 
     two = best(near.unionByName(far)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "b"))).alias("two"))
-    two = two.select(*key, F.get("two", F.lit(0)).alias("x0"), F.get("two", F.lit(1)).alias("x1"))
-    found = rows(wanted).join(two, key).select(page, "node_id", F.when(F.col("x0.b") != F.col("node_id"), F.col("x0")).otherwise(F.col("x1")).alias("x")).where("x IS NOT NULL")
-    return found.groupBy(page, "node_id").agg(F.min("x").alias("x")).select(page, "node_id", F.col("x.b").alias("best_node"), (-F.col("x.s")).alias("similarity"))
+    return labels.join(two, key).select(page, "label", F.get("two", F.lit(0)).alias("x0"), F.get("two", F.lit(1)).alias("x1"))
+
+
+def _other_than(node: Column) -> Column:
+    """The better of ``_best_two`` that isn't the node itself."""
+    return F.when(F.col("x0.b") != node, F.col("x0")).when(F.col("x0.b") == node, F.col("x1"))
+
+
+def best_label(wanted: DataFrame, live: DataFrame, page: str) -> DataFrame:
+    """(page, node_id, best_node, similarity): each wanted label's most similar live one on its page, itself excluded."""
+    found = _named(wanted, page).join(_best_two(wanted, live, page), [page, "label"]).select(page, "node_id", _other_than(F.col("node_id")).alias("x")).where("x IS NOT NULL")
+    return found.groupBy("node_id", page).agg(F.min("x").alias("x")).select(page, "node_id", F.col("x.b").alias("best_node"), (-F.col("x.s")).alias("similarity"))
 
 
 def resolve_marks(assigned: DataFrame, live: DataFrame, page: str) -> DataFrame:
-    """(page, mark, status, node): ok if the node still carries its label, reassigned to the best match, or lost."""
-    here = assigned.select(page, "mark", "node_id", "label").join(live.select(page, "node_id", F.col("label").alias("now")), [page, "node_id"], "left")
-    best = best_label(assigned, live, page).select(page, "node_id", "best_node", F.col("similarity").alias("best"))
-    joined = here.join(best, [page, "node_id"], "left").withColumn("own", F.when(F.col("now").isNotNull(), label_similarity(F.col("label"), F.col("now"))))
+    """(page, mark, status, node): ok if the node still carries its label, reassigned to the best match, or lost.
+
+    The best match is that of ``best_label``, found per label and brought to the rows before they meet the live ones.
+    """
+    found = assigned.select(page, "mark", "node_id", "label").join(_best_two(assigned, live, page), [page, "label"], "left")
+    best = F.min(_other_than(F.col("node_id"))).over(Window.partitionBy("node_id", page))
+    found = found.select(page, "mark", "node_id", "label", best.alias("x"))
+    here = found.join(live.select("node_id", page, F.col("label").alias("now")), ["node_id", page], "left")
+    kept, changed = F.col("label") == F.col("now"), F.col("label") != F.col("now")
+    here = here.withColumns({"before": F.when(changed, label_tokens(F.col("label"))), "after": F.when(changed, label_tokens(F.col("now"))), "best": -F.col("x.s")})
+    own = F.when(kept, 1.0).when(changed, label_similarity(F.col("label"), F.col("now"), F.col("before"), F.col("after")))
     status = F.when(F.col("own") >= 0.99, "ok").when(F.col("best") >= 0.55, "reassigned").when(F.col("own") >= 0.34, "ok").otherwise("lost")
-    return joined.select(page, "mark", status.alias("status"), F.when(status == "reassigned", F.col("best_node")).when(status == "ok", F.col("node_id")).alias("node"))
+    here = here.withColumn("own", own).withColumn("status", status)
+    return here.select(page, "mark", "status", F.when(F.col("status") == "reassigned", F.col("x.b")).when(F.col("status") == "ok", F.col("node_id")).alias("node"))
 
 
 def badge_rect(box: Column, scale: Column, size: float = 22.0) -> Column:

@@ -80,3 +80,37 @@ def test_resolve_marks_of_many_copies(spark):
 
     assert {(r.mark, r.status, r.node) for r in got} == {(i, *want(i)) for i in range(n)}
     assert len(got) == n
+
+
+def test_resolve_marks_against_all_pairs(spark):
+    for seed in range(2):
+        r = random.Random(seed + 7)
+        wanted, live = table(r, 80), table(r, 80)
+        assigned = [(page, node, mark, label) for mark, (page, node, label) in enumerate(wanted)]
+        got = frames.resolve_marks(spark.createDataFrame(assigned, "page string, node_id bigint, mark int, label string"), spark.createDataFrame(live, KIND), "page").collect()
+
+        best, want = {(page, a): (b, s) for page, a, b, s in by_pairs(wanted, live)}, []
+        for page, node, mark, label in assigned:
+            b, s = best.get((page, node), (None, 0.0))
+            for now in [x for p, n, x in live if None not in (page, node) and (p, n) == (page, node)] or [None]:
+                own = None if None in (label, now) else len(words(label) & words(now)) / len(words(label) | words(now))
+                status = "ok" if (own or 0) >= 0.99 else "reassigned" if s >= 0.55 else "ok" if (own or 0) >= 0.34 else "lost"
+                want.append((page, mark, status, {"ok": node, "reassigned": b, "lost": None}[status]))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def unshuffled(node, above=""):
+    """For each scan of a plan, the expressions that are worked out before its rows are dealt out."""
+    above = "" if "Exchange" in node.nodeName() else above + node.expressions().toString()
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    return [x for c in children for x in unshuffled(c, above)] if children else [above]
+
+
+def test_labels_are_taken_apart_once_each_not_once_a_row(spark):
+    n = 40_000
+    before = spark.range(n).selectExpr("'p' AS page", "id AS node_id", "id AS mark", "elt(id % 3 + 1, 'red ring', 'old rod', 'hot bolt') AS label")
+    live = before.selectExpr("page", "node_id", "IF(node_id % 2 = 0, label, 'new rod') AS label")
+    for found in (frames.resolve_marks(before, live, "page"), frames.best_label(before, live, "page")):
+        scans = unshuffled(found._jdf.queryExecution().executedPlan().initialPlan())
+        assert len(scans) > 2
+        assert not [x for x in scans if "regexp" in x.lower()]
