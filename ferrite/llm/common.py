@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,15 +57,39 @@ def clean_up(spark: SparkSession) -> bool:
     return _delete(spark, _own_folder(spark))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Return what the driver's JVM and its Python have freed outside their heaps to the system.
+
+    Each thread of a long-lived driver allocates from an arena of its own, and glibc keeps what is freed there. Nothing in
+    use is touched; where a JVM or C library has no such call, its memory stays as it is.
+    """
+    java, gateway = spark._jvm.java.lang, spark.sparkContext._gateway
+    kinds, args = gateway.new_array(java.Class, 4), gateway.new_array(java.Object, 4)
+    names = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    try:
+        args[0], args[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        for i, n in enumerate(names):
+            kinds[i] = java.Class.forName(n)
+        # The server's class is hidden, its interface isn't.
+        java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at files that outlive executors.
 
-    ``by`` makes a folder for each value of that column, so that a later filter on it reads only those.
+    ``by`` makes a folder for each value of that column, so that a later filter on it reads only those. Each table is
+    many short tasks' work for the driver, whose freed memory goes back to the system.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._ferrite_path = path
     return out

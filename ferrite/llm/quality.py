@@ -126,7 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, key: str = "d
     found = {y: sum(label_of[r[key]] == y for r in texts) for y in share}
     total = sum(share[y] for y in share if found[y])
     weight = {y: share[y] / total * len(texts) / found[y] for y in share if found[y]}
-    return train([(r["_text"], label_of[r[key]], weight[label_of[r[key]]]) for r in texts])
+    model = train([(r["_text"], label_of[r[key]], weight[label_of[r[key]]]) for r in texts])
+    del texts
+    common.give_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep: list[str] | None = None, text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
